@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import bpe, exact_dedup, packing
+from pixelmill.llm import bpe, chat, exact_dedup, imatch, jaccard_join, linededup, packing, quality, toxicity, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_JSON = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "votes", "posterior", "score", (F.col("score") >= quality.KEEP).alias("keep"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    dropped = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), dropped.alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+_SPREAD = """
+l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
+g as (select line, min({'doc_id': doc_id, 'pos': pos}) as first from l where trim(line) <> '' group by line having count(distinct coalesce(source, chr(0))) >= 5),
+m as (select l.doc_id, l.pos, l.line, trim(l.line) <> '' as counts, g.line is not null and {'doc_id': l.doc_id, 'pos': l.pos} <> g.first as gone from l left join g on l.line = g.line and trim(l.line) <> ''),
+p as (select doc_id, count(*) filter (counts) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text from m group by doc_id)
+"""
+OP3_SQL = f"""
+with {_SPREAD}
+select d.doc_id, coalesce(p.n_lines, 0) as n_lines, coalesce(p.n_removed, 0) as n_removed, coalesce(p.n_removed > 0 and p.n_removed = p.n_lines, false) as dropped, sha256(coalesce(p.text, '')) as text_sha256
+from documents d left join p using (doc_id)
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> {15 - 5 * j}) & 31 as integer), 1)" for i in range(8) for j in range(4)
+)
+OP4_SQL = f"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first_id from pages)
+select page_id, n as payload_bytes, {_BASE32} as payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type, case when first_id <> page_id then first_id end as refers_to
+from p
+"""
+
+
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,18 +82,49 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), WORD_JSON)
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, WORD_JSON)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.windows(turns.unionByName(extra)))
+
+
+OP9_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256
+from t group by conv_id
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_jaccard_join": op2_jaccard_join,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_warc": op4_warc,
+        "op5_imatch": op5_imatch,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_packing": op8_packing,
+        "op9_chat": op9_chat,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}

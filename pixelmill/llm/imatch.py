@@ -3,15 +3,15 @@
 Terms are the lower-cased words between white space and ASCII punctuation.  Those whose
 document frequency lies in the band [``low``, ``high``] of the documents form the lexicon.  A
 document's distinct lexicon terms, sorted, are hashed once for each of ``SUBSETS`` randomised
-lexicon subsets; subset k keeps a term with probability ``2 ** -(1 + k // 2)``, so that short and
-long documents both have subsets with a few of their terms.  The fingerprint is the row of
+lexicon subsets; subset k keeps a term with probability ``4 ** -(2 + k // 8)``, so that short and
+long documents both have subsets with one or a few of their terms.  The fingerprint is the row of
 these hashes, and the likeness of two is the share of equal ones among the subsets that are not
 empty for both.
 
 The lexicon is the one thing broadcast.  Its size is bounded: a term needs at least
 ``postings / LEXICON`` documents, and no more than ``LEXICON`` terms can have that many.
 
-Cases: a text without lexicon terms is fingerprinted by all its terms together and is like only
+Cases: a text of which no subset keeps a term is fingerprinted by all its terms together and is like only
 its equals; a null text counts as empty, and texts without terms share one fingerprint;
 repeated ids are ordered by a hash of their text; a null doc_id comes first; an empty table
 gives an empty result.
@@ -26,7 +26,7 @@ from pixelmill.session import shuffle_partitions, stage_table
 
 LOW, HIGH = 0.0005, 0.1
 LEXICON = 400_000
-SUBSETS = 16
+SUBSETS = 32
 
 
 def terms(text: Column) -> Column:
@@ -46,7 +46,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str
     band = counted.where(F.col("df").between(least, max(least, int(high * n))))
     mask = F.lit(0).cast("long")
     for k in range(SUBSETS):
-        kept = F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(2 << (k // 2))) == 0
+        kept = F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(16 << 2 * (k // 8))) == 0
         mask = mask.bitwiseOR(F.when(kept, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
     return band.select("term", mask.alias("mask"))
 
@@ -92,11 +92,15 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, Window]:
 
 
 def _hashes(found: Column, rest: Column) -> Column:
-    """The row of subset hashes (0 where a subset keeps none), or one hash of all terms if none is in the lexicon."""
+    """The row of subset hashes (0 where a subset keeps none), or one hash of all terms if no subset keeps any."""
     ordered = F.array_sort(found)
-    each = [F.filter(ordered, lambda x, k=k: x["mask"].bitwiseAND(F.lit(1 << k)) != 0) for k in range(SUBSETS)]
+
+    def subset(k: int) -> Column:
+        return F.filter(ordered, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0)
+
+    each = [subset(k) for k in range(SUBSETS)]
     row = F.array(*[F.when(F.size(e) > 0, F.xxhash64(F.transform(e, lambda x: x["term"]))).otherwise(F.lit(0).cast("long")) for e in each])
-    return F.when(F.size(found) > 0, row).otherwise(F.array(rest))
+    return F.when(F.exists(row, lambda h: h != 0), row).otherwise(F.array(rest))
 
 
 def likeness(a: Column, b: Column) -> Column:
