@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a).eqNullSafe(0) | F.size(b).eqNullSafe(0) | a.isNull() | b.isNull(), 0.0).otherwise(dot(a, b) / (one(a) * one(b)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, worked out once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    def scaled(v: Column) -> Column:
+        return let(F.when(norm(v) == 0, 1.0).otherwise(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+    return let(a, scaled)
 
 
 def text_embedding(words: Column, dim: int = TEXT_DIM) -> Column:
@@ -43,6 +51,23 @@ def text_embedding(words: Column, dim: int = TEXT_DIM) -> Column:
     return normalized(summed)
 
 
+def sparse_similarity(asked: Column, words: Column, dim: int = TEXT_DIM) -> Column:
+    """Cosine of a unit vector and the hashed vector of a few words, without building the latter.
+
+    Its squared norm is the sum over pairs of words in one cell, so this suits short texts.
+    """
+    index = lambda w: F.conv(F.substring(F.sha1(w), 1, 8), 16, 10).cast("long") % dim
+    sign = lambda w: F.when(F.conv(F.substring(F.sha1(w), 9, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
+    placed = F.transform(words, lambda w: F.struct((index(w) + 1).cast("int").alias("i"), sign(w).alias("s")))
+
+    def similarity(p: Column) -> Column:
+        square = F.aggregate(p, F.lit(0.0), lambda total, a: total + F.aggregate(p, F.lit(0.0), lambda t, b: t + F.when(a["i"] == b["i"], a["s"] * b["s"]).otherwise(0.0)))
+        product = F.aggregate(p, F.lit(0.0), lambda t, a: t + a["s"] * F.element_at(asked, a["i"]))
+        return let(square, lambda n: F.when(n > 0, product / F.sqrt(n)).otherwise(product))
+
+    return let(placed, similarity)
+
+
 def query_embedding(query: str, dim: int = TEXT_DIM) -> list[float]:
     """``text_embedding`` of one query text, worked out on the driver so that a plan holds it as a literal."""
     out = [0.0] * dim

@@ -27,14 +27,18 @@ def scored(assets: DataFrame, query: str | None = None, reference: DataFrame | N
     col = lambda c, t="string": F.col(c) if c in assets.columns else F.lit(None).cast(t)
     q = (query or "").strip().lower()
     df = assets.withColumn("_blob", search_text(assets)).withColumn("_tokens", text.token_set(F.col("_blob")))
-    if "text_vector" not in assets.columns:
+    stored = "text_vector" in assets.columns
+    if reference is not None and not stored:
         df = df.withColumn("text_vector", vector.text_embedding(text.tokens(F.col("_blob"))))
     parts: list[Column] = []
     why: list[Column] = []
     if q:
         words = text.token_set(F.lit(q))
         asked = F.split(F.lit(",".join(map(repr, vector.query_embedding(q)))), ",").cast("array<double>")
-        df = df.withColumn("_similar", vector.cosine(asked, F.col("text_vector")))
+        words_of = text.tokens(F.col("_blob"))
+        short = vector.sparse_similarity(asked, words_of)
+        dense = vector.cosine(asked, F.col("text_vector") if stored else vector.text_embedding(words_of))
+        df = df.withColumn("_similar", dense if stored else F.when(F.size(words_of) <= 64, short).otherwise(dense))
         similar = F.col("_similar")
         share = text.overlap(words, F.col("_tokens"))
         people = text.overlap(words, text.token_set(F.concat_ws(" ", F.array_join(F.coalesce(col("people", "array<string>"), F.array().cast("array<string>")), " "), col("face_labels"))))

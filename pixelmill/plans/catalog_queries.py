@@ -504,7 +504,7 @@ def browse_search(spark, d):
 
 # --- tuning, journal, jobs, export ----------------------------------------------------------
 
-_TUNE = "r as (select o_orderkey % 1000 / 1000.0 as score, case when (o_orderkey * 7) % 1000 + o_orderkey % 1000 > 1200 then 1 else 0 end as label, case when o_orderkey % 3 = 0 then 0.4 else 1.0 end as weight from orders)"
+_TUNE = "r as (select o_orderkey % 1000 / 1000.0 as score, case when (o_orderkey * 7) % 1000 + o_orderkey % 1000 > 1200 then 1 else 0 end as label, case when o_orderkey % 3 = 0 then 0.4 else 1.0 end::double as weight from orders)"
 
 
 def _tune_rows(spark, d):
