@@ -27,6 +27,7 @@ from pixelmill.session import shuffle_partitions, stage_table
 LOW, HIGH = 0.0005, 0.1
 LEXICON = 400_000
 SUBSETS = 32
+EMPTY = 0  # stands for the hash of no terms
 
 
 def terms(text: Column) -> Column:
@@ -36,7 +37,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str = "text", limit: int = LEXICON) -> DataFrame:
-    """The terms in the band: (term, mask), bit k of mask being set if subset k keeps the term."""
+    """The terms in the band by subset: one row (term, k) for each subset that keeps the term."""
     seen, rows = Observation(), Observation()
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).observe(rows, F.count(F.lit(1)).alias("n"))
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).observe(seen, F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
@@ -44,11 +45,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str
     n, postings = rows.get["n"], seen.get["postings"]
     least = max(2, int(low * n), -(-postings // limit))
     band = counted.where(F.col("df").between(least, max(least, int(high * n))))
-    mask = F.lit(0).cast("long")
-    for k in range(SUBSETS):
-        kept = F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(16 << 2 * (k // 8))) == 0
-        mask = mask.bitwiseOR(F.when(kept, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return band.select("term", mask.alias("mask"))
+    subsets = [F.when(F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(16 << 2 * (k // 8))) == 0, F.lit(k)) for k in range(SUBSETS)]
+    return band.select("term", F.explode(F.array_compact(F.array(*subsets))).alias("k"))
 
 
 def _bucket(x: Column, bounds: list[int]) -> Column:
@@ -91,20 +89,36 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, Window]:
     return out, Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 
-def _hashes(found: Column, rest: Column) -> Column:
-    """The row of subset hashes (0 where a subset keeps none), or one hash of all terms if no subset keeps any."""
-    ordered = F.array_sort(found)
+def _chained(found: Column) -> Column:
+    """(key, h) for each run of one key in ``found``, sorted (key, term): terms are hashed one after the other."""
+    none = F.array().cast("array<struct<key:int,h:bigint>>")
+    start = F.struct(F.lit(-1).alias("key"), F.lit(0).cast("long").alias("h"), none.alias("out"))
 
-    def subset(k: int) -> Column:
-        return F.filter(ordered, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0)
+    def closed(s: Column) -> Column:
+        return F.when(s["key"] < 0, s["out"]).otherwise(F.array_append(s["out"], F.struct(s["key"].alias("key"), s["h"].alias("h"))))
 
-    each = [subset(k) for k in range(SUBSETS)]
-    row = F.array(*[F.when(F.size(e) > 0, F.xxhash64(F.transform(e, lambda x: x["term"]))).otherwise(F.lit(0).cast("long")) for e in each])
-    return F.when(F.exists(row, lambda h: h != 0), row).otherwise(F.array(rest))
+    def step(s: Column, x: Column) -> Column:
+        same = s["key"] == x["key"]
+        h = F.xxhash64(x["term"], F.when(same, s["h"]).otherwise(F.lit(0).cast("long")))
+        return F.struct(x["key"].alias("key"), h.alias("h"), F.when(same, s["out"]).otherwise(closed(s)).alias("out"))
+
+    return F.aggregate(found, start, step, closed)
+
+
+def _hashes(chains: Column, of: int) -> Column:
+    """The row of subset hashes of one text, EMPTY where a subset keeps none of its terms."""
+    own = F.map_from_entries(F.filter(chains, lambda x: F.floor(x["key"] / SUBSETS) == of))
+    row = F.transform(F.array(own), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.coalesce(F.try_element_at(m, k + of * SUBSETS), F.lit(EMPTY).cast("long"))))
+    return F.element_at(row, 1)  # the map is built once, not for each subset
+
+
+def _or_all(row: Column, rest: Column) -> Column:
+    """The row, or one hash of all terms if no subset keeps any."""
+    return F.when(F.exists(row, lambda h: h != EMPTY), row).otherwise(F.array(rest))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] != 0) | (p["b"] != 0))
+    pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))
     same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
     return F.when(a == b, F.lit(1.0)).when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(same / F.greatest(F.size(pairs), F.lit(1)))
 
@@ -133,12 +147,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     mark = F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("of"))
     tagged = F.concat(F.array(mark), F.transform("t0", lambda x: F.struct(x.alias("term"), F.lit(1).alias("of"))), F.transform("t1", lambda x: F.struct(x.alias("term"), F.lit(2).alias("of"))))
     keys = ["bucket", "rid", "sentinel", "doc_id", "n_chars", "tie", "sha", "rest0", "rest1"]
-    long_form = rows.select(*keys[:-2], _sum_of(F.col("t0")).alias("rest0"), _sum_of(F.col("t1")).alias("rest1"), F.explode(tagged).alias("x")).select(*keys, "x.term", "x.of")
-    hit = long_form.join(F.broadcast(terms_of_band), "term", "left").where("of = 0 or mask is not null")
-    pair = F.struct("term", "mask")
-    first = [F.first(k).alias(k) for k in keys[2:]]
-    grouped = hit.groupBy("bucket", "rid").agg(*first, F.collect_list(F.when(F.col("of") == 1, pair)).alias("f0"), F.collect_list(F.when(F.col("of") == 2, pair)).alias("f1"))
-    hashed = grouped.select("bucket", "sentinel", "doc_id", "n_chars", "tie", "sha", _hashes(F.col("f0"), F.col("rest0")).alias("a"), _hashes(F.col("f1"), F.col("rest1")).alias("b"))
+    # What a document has once is worked out before its terms are exploded.
+    once = rows.select(*keys[:-2], _sum_of(F.col("t0")).alias("rest0"), _sum_of(F.col("t1")).alias("rest1"), tagged.alias("tagged"))
+    long_form = once.select(*keys, F.explode("tagged").alias("x")).select(*keys, "x.term", "x.of")
+    hit = long_form.join(F.broadcast(terms_of_band), "term", "left").where("of = 0 or k is not null")
+    first = [F.first(c).alias(c) for c in keys[2:]]
+    key = (F.col("of") * SUBSETS + F.col("k")).cast("int")
+    found = F.array_sort(F.collect_list(F.when(F.col("of") > 0, F.struct(key.alias("key"), "term"))))
+    grouped = hit.groupBy("bucket", "rid").agg(*first, found.alias("found"))
+    row = ["bucket", "sentinel", "doc_id", "n_chars", "tie", "sha"]
+    chained = grouped.select(*row, "rest0", "rest1", _chained(F.col("found")).alias("chains"))
+    hashed = chained.select(*row, "rest0", "rest1", _hashes(F.col("chains"), 1).alias("a"), _hashes(F.col("chains"), 2).alias("b"))
+    hashed = hashed.select(*row, _or_all(F.col("a"), F.col("rest0")).alias("a"), _or_all(F.col("b"), F.col("rest1")).alias("b"))
     again = Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), "tie")
     final = hashed.withColumn("c", F.lead("a").over(again)).where("not sentinel")
     return final.select(
