@@ -19,7 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.session import shuffle_partitions, stage_table
@@ -38,11 +38,9 @@ def terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str = "text", limit: int = LEXICON) -> DataFrame:
     """The terms in the band by subset: one row (term, k) for each subset that keeps the term."""
-    seen, rows = Observation(), Observation()
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).observe(rows, F.count(F.lit(1)).alias("n"))
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).observe(seen, F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
-    counted = stage_table(counts.where("df > 1"), "imatch-df")
-    n, postings = rows.get["n"], seen.get["postings"]
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    counted = stage_table(texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "imatch-df")
+    n, postings = docs.count(), counted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("p")).first()["p"]
     least = max(2, int(low * n), -(-postings // limit))
     band = counted.where(F.col("df").between(least, max(least, int(high * n))))
     subsets = [F.when(F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(16 << 2 * (k // 8))) == 0, F.lit(k)) for k in range(SUBSETS)]
