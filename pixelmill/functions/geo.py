@@ -59,7 +59,7 @@ def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Colum
 
 
 def to_iso6709(lat: Column, lon: Column, alt: Column) -> Column:
-    return F.concat(F.format_string("%+08.4f%+09.4f", lat, lon), F.coalesce(F.format_string("%+.3f", alt), F.lit("")), F.lit("/"))
+    return F.concat(F.format_string("%+08.4f%+09.4f", lat, lon), F.when(alt.isNull(), F.lit("")).otherwise(F.format_string("%+.3f", alt)), F.lit("/"))
 
 
 def mercator(lat: Column, lon: Column) -> Column:

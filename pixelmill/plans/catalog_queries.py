@@ -405,7 +405,7 @@ def json_field(spark, d):
 
 @query(f"""with {A}, k as (select *, regexp_replace(lower(regexp_replace(orig_filename, '\\.[^.]+$', '')), '(_original|-original|-edited|_edited|-main|_main|-overlay|_overlay)$', '') as key from a)
 select id, coalesce(title, first_value(title ignore nulls) over w) as title, case when title is not null then 'sidecar_metadata' when first_value(title ignore nulls) over w is not null then 'paired_metadata' end as title_from,
-case when title is not null then 0.94 when first_value(title ignore nulls) over w is not null then 0.72 end as title_confidence from k window w as (partition by key order by id rows between unbounded preceding and unbounded following)""")
+case when title is not null then 0.94::double when first_value(title ignore nulls) over w is not null then 0.72::double end as title_confidence from k window w as (partition by key order by id rows between unbounded preceding and unbounded following)""")
 def metadata_repair(spark, d):
     a = assets(spark, d)
     return repair.repaired(a, [("sidecar_metadata", a.select("id", "title"))], ["title"]).select("id", "title", "title_from", "title_confidence")
@@ -511,8 +511,8 @@ def _tune_rows(spark, d):
     return t(spark, d, "orders").selectExpr("cast(o_orderkey % 1000 / 1000.0 as double) as score", "case when (o_orderkey * 7) % 1000 + o_orderkey % 1000 > 1200 then 1 else 0 end as label", "case when o_orderkey % 3 = 0 then 0.4D else 1.0D end as weight")
 
 
-@query(f"""with {_TUNE}, g as (select round(0.60 + k * 0.005, 4) as threshold from range(79) t(k)), s as (select threshold, sum(weight) filter (score >= threshold and label = 1) as tp, sum(weight) filter (score >= threshold and label = 0) as fp, sum(weight) filter (score < threshold and label = 0) as tn, sum(weight) filter (score < threshold and label = 1) as fn from r, g group by 1)
-select threshold, round(tp, 3) as tp, round(fp, 3) as fp, round(tn, 3) as tn, round(fn, 3) as fn, round(tp / (tp + fp), 4) as precision, round(tp / (tp + fn), 4) as recall, round(fp * 5 + fn, 4) as cost from s""")
+@query(f"""with {_TUNE}, g as (select round(0.60 + k * 0.005, 4) as threshold from range(79) t(k)), s as (select threshold, coalesce(sum(weight) filter (score >= threshold and label = 1), 0) as tp, coalesce(sum(weight) filter (score >= threshold and label = 0), 0) as fp, coalesce(sum(weight) filter (score < threshold and label = 0), 0) as tn, coalesce(sum(weight) filter (score < threshold and label = 1), 0) as fn from r, g group by 1)
+select threshold::double as threshold, round(tp, 3) as tp, round(fp, 3) as fp, round(tn, 3) as tn, round(fn, 3) as fn, case when tp + fp > 0 then round(tp / (tp + fp), 4) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 4) else 0 end as recall, round(fp * 5 + fn, 4) as cost from s""")
 def threshold_sweep(spark, d):
     return tuning.sweep(_tune_rows(spark, d))
 

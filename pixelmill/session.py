@@ -51,9 +51,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage so that a lost executor costs a re-read, not a recomputation.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gone_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have an intermediate table removed when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
