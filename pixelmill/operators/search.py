@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,17 @@ def scored(assets: DataFrame, query: str | None = None, reference: DataFrame | N
     """
     col = lambda c, t="string": F.col(c) if c in assets.columns else F.lit(None).cast(t)
     q = (query or "").strip().lower()
-    df = assets.withColumn("_blob", search_text(assets)).withColumn("_tokens", text.token_set(F.col("_blob")))
+    df = assets.withColumn("_blob", search_text(assets)).withColumn("_words", text.tokens(F.col("_blob"))).withColumn("_tokens", F.array_distinct("_words"))
     stored = "text_vector" in assets.columns
     if reference is not None and not stored:
         df = df.withColumn("text_vector", vector.text_embedding(text.tokens(F.col("_blob"))))
     parts: list[Column] = []
     why: list[Column] = []
     if q:
-        words = text.token_set(F.lit(q))
+        asked_words = list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", q) if len(w) > 1))
+        words = F.array(*map(F.lit, asked_words)) if asked_words else F.array().cast("array<string>")
         asked = F.split(F.lit(",".join(map(repr, vector.query_embedding(q)))), ",").cast("array<double>")
-        words_of = text.tokens(F.col("_blob"))
+        words_of = F.col("_words")
         short = vector.sparse_similarity(asked, words_of)
         dense = vector.cosine(asked, F.col("text_vector") if stored else vector.text_embedding(words_of))
         df = df.withColumn("_similar", dense if stored else F.when(F.size(words_of) <= 64, short).otherwise(dense))
@@ -62,7 +65,7 @@ def scored(assets: DataFrame, query: str | None = None, reference: DataFrame | N
         parts.append(F.lit(0.01))
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     out = df.withColumn("score", total).where("score > 0").withColumns({"score": F.bround("score", 4), "reasons": F.slice(F.array_compact(F.array(*why)), 1, 4)})
-    return out.drop("_blob", "_tokens", "_similar", "_rt", "_rv")
+    return out.drop("_blob", "_words", "_tokens", "_similar", "_rt", "_rv")
 
 
 def search(assets: DataFrame, query: str | None = None, *, hidden: DataFrame | None = None, reference: DataFrame | None = None, similar_to=None, limit: int = 100, offset: int = 0, media_type: str | None = None, source: str | None = None) -> DataFrame:
