@@ -104,9 +104,70 @@ def nearest(faces: DataFrame, k: int, floor: float = -1.0, vec: str = "vector",
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _met(one: DataFrame, two: DataFrame, body, schema: str, once: bool = False, vec: str = "vector", face_id: str = "id", asset: str | None = None) -> DataFrame:
+    """``body(ids of one, ids of two, cosines)`` of every block of ``one`` with every block of ``two``, as rows of ``schema``.
+
+    Vectors travel in packed blocks as in ``nearest``.  A face and itself, and with
+    ``asset`` faces of one asset, have -2 for their cosine.  ``once``: both sides are the same
+    faces and each pair of blocks meets in one order only.
+    """
+    parts = max(1, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cols = [F.col(face_id).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"), (F.col(asset) if asset else F.col(face_id)).cast("string").alias("a")]
+
+    def spread(faces: DataFrame, side: int) -> DataFrame:
+        own, other = ("x", "y") if side == 0 else ("y", "x")
+        base = faces.select(*cols).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("side", F.lit(side))
+        low, high = (F.col("x"), F.lit(parts - 1)) if once and side == 0 else (F.lit(0), F.col("y") if once else F.lit(parts - 1))
+        return base.withColumn(other, F.explode(F.sequence(low, high))).select("id", "v", "a", "side", "x", "y")
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf):
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(left) or not len(right):
+            return type(pdf)({c: [] for c in names})
+        m, q = (np.stack(d.v.to_list()) for d in (left, right))
+        m, q = (d / np.where((n := np.linalg.norm(d, axis=1, keepdims=True)) == 0, 1, n) for d in (m, q))
+        sim = m @ q.T
+        sim[(left.id.to_numpy()[:, None] == right.id.to_numpy()) | ((left.a.to_numpy()[:, None] == right.a.to_numpy()) if asset else False)] = -2
+        return type(pdf)(body(left.id.to_numpy(), right.id.to_numpy(), sim), columns=names)
+
+    return spread(one, 0).unionByName(spread(two, 1)).groupBy("x", "y").applyInPandas(run, schema)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) of a boolean matrix that keep connected what all its links connect, fewer than rows and columns together."""
+    out, row_left, col_left = [], np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
+    for start in range(linked.shape[0]):
+        if not row_left[start]:
+            continue
+        row_left[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            cols = np.flatnonzero(linked[i] & col_left)
+            col_left[cols] = False
+            out += [(i, int(j)) for j in cols]
+            for j in cols:
+                rows = np.flatnonzero(linked[:, j] & row_left)
+                row_left[rows] = False
+                out += [(int(r), int(j)) for r in rows]
+                todo += rows.tolist()
+    return out
+
+
+def links(faces: DataFrame, floor: float, **names) -> DataFrame:
+    """(src, dst): faces at ``floor`` or above, cut to a spanning forest of each pair of blocks, so that no component changes."""
+
+    def spanning(one: np.ndarray, two: np.ndarray, sim: np.ndarray) -> list[tuple]:
+        return [(int(one[i]), int(two[j])) for i, j in _forest(sim >= max(floor, -1.5))]
+
+    return _met(faces, faces, spanning, "src long, dst long", once=True, **names)
+
+
 def threshold_components(faces: DataFrame, floor: float = 0.82, **names) -> DataFrame:
-    """Components of the graph that links faces at ``floor`` or above (within 64 nearest of each)."""
-    return connected_components(nearest(faces, 64, floor, **names))
+    """Components of the graph that links all faces at ``floor`` or above."""
+    return connected_components(links(faces, floor, **names))
 
 
 def nearest_neighbor_components(faces: DataFrame, floor: float = 0.75, **names) -> DataFrame:
@@ -124,11 +185,26 @@ def density_components(faces: DataFrame, k: int = 12, floor: float = 0.74, densi
 
 def dbscan(faces: DataFrame, eps: float = 0.22, min_points: int = 3, **names) -> DataFrame:
     """(id, component): core faces within ``eps`` (cosine distance) connect; border faces join their nearest core."""
-    near = stage_table(nearest(faces, 64, 1 - eps, **names), "identity-dbscan")
-    core = near.groupBy("src").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_points).select(F.col("src").alias("id"))
-    links = near.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
-    inner = connected_components(links.join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").union(core.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
-    border = near.join(core.withColumnRenamed("id", "src"), "src", "left_anti").join(inner.withColumnRenamed("id", "dst"), "dst")
+    floor, face_id = max(1 - eps, -1.5), names.get("face_id", "id")
+
+    def count(one: np.ndarray, two: np.ndarray, sim: np.ndarray) -> list[tuple]:
+        n = (sim >= floor).sum(1)
+        return [(int(i), int(k)) for i, k in zip(one, n) if k]
+
+    def best(one: np.ndarray, two: np.ndarray, sim: np.ndarray) -> list[tuple]:
+        out = []
+        for i, src in enumerate(one):
+            j = np.lexsort((two, sim[i]))[-1]
+            if sim[i, j] >= floor:
+                out.append((int(src), int(two[j]), float(sim[i, j])))
+        return out
+
+    near = _met(faces, faces, count, "id long, n long", **names).groupBy("id").agg((F.sum("n") + 1).alias("n"))
+    near = stage_table(near.select("id", (F.col("n") >= min_points).alias("core")), "identity-dbscan")
+    of = lambda core: faces.join(near.where(F.col("core") == core).select(F.col("id").alias("_id")), F.col(face_id) == F.col("_id"), "left_semi")
+    own = near.where("core").select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    inner = connected_components(links(of(True), 1 - eps, **names).union(own))
+    border = _met(of(False), of(True), best, "src long, dst long, sim double", **names).join(inner.withColumnRenamed("id", "dst"), "dst")
     near_core = border.groupBy(F.col("src").alias("id")).agg(F.max_by("component", F.struct("sim", "dst")).alias("component"))
     return inner.unionByName(near_core)
 

@@ -132,6 +132,19 @@ def test_identity_methods(spark):
     assert one(spark, identity.vector.cluster_threshold(F.lit(15))) == 0.85
 
 
+def test_links_beyond_the_nearest_64(spark):
+    at = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    bursts = [at(i * 0.01) for i in range(70)] + [at(30 + i * 0.01) for i in range(70)] + [at(120 + i * 0.01) for i in range(3)]
+    f = spark.createDataFrame(list(enumerate(bursts)), "id long, vector array<double>").withColumn("asset_id", F.col("id") % 141)
+    for method in (identity.threshold_components, identity.dbscan):
+        got = {r["id"]: r["component"] for r in method(f).collect()}
+        assert got == {i: 0 if i < 140 else 140 for i in range(143)}, method
+    pairs = {(r["src"], r["dst"]) for r in identity.links(f, 0.82, asset="asset_id").collect()}
+    assert len(pairs) < 10 * 143 and not {(0, 141), (141, 0)} & pairs
+    few = spark.createDataFrame([(1, at(0)), (2, at(30)), (3, at(60)), (4, at(180))], "id long, vector array<double>")
+    assert {r["id"]: r["component"] for r in identity.dbscan(few).collect()} == {1: 2, 2: 2, 3: 2}  # one core, two borders
+
+
 def test_search_finds_text_first(spark):
     a = spark.createDataFrame(
         [(1, "scan.jpg", "Airport gate", "boarding pass gate 12", ["Avery"], "London Bridge, London", None, None), (2, "desk.jpg", "Office desk", None, None, None, 5, 0.95)],
