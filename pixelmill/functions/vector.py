@@ -51,6 +51,19 @@ def text_embedding(words: Column, dim: int = TEXT_DIM) -> Column:
     return normalized(summed)
 
 
+def simhash_bits(h: Column, bits: int = 64) -> list[Column]:
+    """For each bit the votes of a group's 64-bit hashes: one up where it is set, one down where not."""
+    return [F.sum(F.shiftright(h, k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_v{k}") for k in range(bits)]
+
+
+def simhash(bits: int = 64) -> Column:
+    """The hash of the bits with more votes up than down, from the columns of ``simhash_bits``."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out.bitwiseOR(F.when(F.col(f"_v{k}") > 0, F.lit((1 << k) - (1 << 64 if k == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    return out
+
+
 def sparse_similarity(asked: Column, words: Column, dim: int = TEXT_DIM) -> Column:
     """Cosine of a unit vector and the hashed vector of a few words, without building the latter.
 

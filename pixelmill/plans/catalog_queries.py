@@ -16,6 +16,7 @@ from pixelmill import schema
 from pixelmill.functions import text, timex, vector
 from pixelmill.operators import catalog, dedupe, identity, jobs, journal, metadata, repair, search, sinks, tuning
 from pixelmill.operators.graph import connected_components
+from pixelmill.session import stage_table
 from pixelmill.sources import scan
 from pixelmill.streaming import media
 
@@ -144,6 +145,36 @@ def near_hash_components(spark, d):
     return connected_components(near_hash_pairs(spark, d).where("distance <= 5"))
 
 
+#: SimHashes of documents that stand in for the five image hashes, and pairs scored by them in one lang and source.
+_SIM = r"""w as (select doc_id as id, coalesce(lang, '') as lang, coalesce(source, '') as source, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as w from documents),
+v as (select id, lang, source, k, sum(case when (('0x' || substr(md5(w), 1 + 8 * (1 - k // 32), 8))::bigint >> (k % 32)) & 1 = 1 then 1 else -1 end) as v from w, range(64) t(k) group by all),
+h as (select id, lang, source, coalesce(sum(2 ** (k - 32)) filter (v > 0 and k >= 32), 0)::bigint as hi, coalesce(sum(2 ** k) filter (v > 0 and k < 32), 0)::bigint as lo from v group by all),
+d as (select a.id as src, b.id as dst, a.source, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as bits from h a join h b on a.lang = b.lang and a.source = b.source and a.id < b.id),
+s as (select src, dst, source, (0.42 + 0.23 + 0.17 + 0.10) * (1 - bits / 64.0) + 0.08 * case when bits <= 12 then 1 else 1 - bits / 64.0 end as sim from d),
+p as (select src, dst, round_even((1 - sim) * 64, 2)::double as distance, (sim * 0.78 + case when source = '' then 0 else 0.12 end + 0.05 + case when round((1 - sim) * 64 / 0.92) <= 12 then 0.04 else 0 end)::double as score from s),
+l as (select * from p where distance <= 6 or score >= 0.82 and distance <= 10)"""
+
+
+def _hashed_documents(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    hashed = stage_table(dedupe.text_hashes(docs, "text", ["id", "lang", "source"]), "near-simhash")
+    none = F.lit(None).cast("string")
+    same = {c: F.col("simhash") for c in ("phash", "dhash", "whash", "colorhash", "crop_hash")}
+    return hashed.withColumns(same | {"n": F.col("id"), "media_type": F.concat_ws("/", "lang", "source"), "dt_original": none, "source_kind": none, "source_root": none})
+
+
+@query(f"with {_SIM} select src, dst, distance, round(score, 6) as score from l")
+def near_dedupe_pairs(spark, d):
+    return dedupe.near_pairs(_hashed_documents(spark, d)).select("src", "dst", "distance", F.round("score", 6).alias("score"))
+
+
+@query(f"""with recursive {_SIM}, e as (select src as x, dst as y from l union select dst, src from l),
+r as (select distinct x as id, x as c from e union select e.y as id, r.c from r join e on r.id = e.x where r.c < e.y)
+select id, least(min(c), id) as component from r group by id""")
+def near_dedupe_components(spark, d):
+    return dedupe.near_groups(_hashed_documents(spark, d)).withColumnRenamed("n", "id")
+
+
 @query("""with g as (select event_id, user_id, ts, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) > 86400 * 1000000::bigint then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from g)
 select user_id, cast(island as bigint) as island, count(*) as members, min(ts) as first_at, max(ts) as last_at from s group by 1, 2 having count(*) > 1""")

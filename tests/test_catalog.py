@@ -191,6 +191,22 @@ def test_duplicates_and_sequences(spark):
     assert {r["n"] for r in dedupe.near_groups(h).collect()} == {97, 98, 99}
 
 
+def test_one_word_edit_links(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in rng.integers(0, 5000, 60)]
+    other = [f"word{i}" for i in rng.integers(0, 5000, 60)]
+    edited = words[:30] + ["changed"] + words[31:]
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join(edited), "en", "a"), (3, " ".join(other), "en", "a"), (4, " ".join(words), "en", "b"), (5, None, "en", "a"), (6, "", "en", "a")]
+    rows += [(7, "Слово за словом идёт", "ru", None), (8, "слово за словом идёт!", "ru", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    from pixelmill.plans import catalog_queries
+
+    pairs = {(r["src"], r["dst"]) for r in catalog_queries.queries()["near_dedupe_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs == {(1, 2), (7, 8)}
+    groups = {r["id"]: r["component"] for r in catalog_queries.queries()["near_dedupe_components"](spark, str(tmp_path)).collect()}
+    assert groups == {1: 1, 2: 1, 7: 7, 8: 7}
+
+
 def test_standard_and_confidence(spark):
     assert schema.standard(spark).count() == 24
     assert schema.standard(spark, "video").agg(F.sum("weight")).first()[0] == 137
