@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEXT_DIM = 96
@@ -81,6 +81,33 @@ def sparse_similarity(asked: Column, words: Column, dim: int = TEXT_DIM) -> Colu
     return let(placed, similarity)
 
 
+def folded_similarity(asked: Column, words: Column, dim: int = TEXT_DIM) -> Column:
+    """``sparse_similarity`` for texts of any length: the words' cells are sorted, so that each cell is summed in one run."""
+    code = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim * 2 + F.conv(F.substring(h, 10, 1), 16, 10).cast("long") % 2).cast("int")
+    codes = F.sort_array(F.transform(words, lambda w: code(F.sha1(w))))
+    state = lambda i, run, square, product: F.struct(i.alias("i"), run.alias("run"), square.alias("square"), product.alias("product"))
+    whole = lambda s: (s["square"] + s["run"] * s["run"], s["product"] + F.when(s["i"] > 0, s["run"] * F.element_at(asked, F.greatest(s["i"], F.lit(1)))).otherwise(0.0))
+
+    def step(s: Column, c: Column) -> Column:
+        i, sign = F.shiftright(c, 1) + 1, F.when(c.bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
+        return F.when(s["i"] == i, state(s["i"], s["run"] + sign, s["square"], s["product"])).otherwise(state(i, sign, *whole(s)))
+
+    def done(s: Column) -> Column:
+        square, product = whole(s)
+        return F.when(square > 0, product / F.sqrt(square)).otherwise(product)
+
+    return F.aggregate(codes, state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0)), step, done)
+
+
+def embedded_texts(texts: DataFrame, key: str, words: Column, dim: int = TEXT_DIM) -> DataFrame:
+    """(key, dim, value): the cells other than 0 of ``text_embedding`` of each key's words, summed map side first."""
+    h = texts.select(key, F.explode(words).alias("_w")).select(key, F.sha1("_w").alias("_h"))
+    cell, odd = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % dim, F.conv(F.substring("_h", 10, 1), 16, 10).cast("int") % 2
+    sums = h.groupBy(key, cell.alias("dim")).agg(F.sum(F.when(odd == 1, -1.0).otherwise(1.0)).alias("v")).where("v <> 0")
+    packed = sums.groupBy(key).agg(F.collect_list(F.struct("dim", "v")).alias("_p"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    return packed.select(key, "_n", F.inline("_p")).select(key, "dim", (F.col("v") / F.col("_n")).alias("value"))
+
+
 def query_embedding(query: str, dim: int = TEXT_DIM) -> list[float]:
     """``text_embedding`` of one query text, worked out on the driver so that a plan holds it as a literal."""
     out = [0.0] * dim

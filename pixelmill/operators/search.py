@@ -40,8 +40,8 @@ def scored(assets: DataFrame, query: str | None = None, reference: DataFrame | N
         asked = F.split(F.lit(",".join(map(repr, vector.query_embedding(q)))), ",").cast("array<double>")
         words_of = F.col("_words")
         short = vector.sparse_similarity(asked, words_of)
-        dense = vector.cosine(asked, F.col("text_vector") if stored else vector.text_embedding(words_of))
-        df = df.withColumn("_similar", dense if stored else F.when(F.size(words_of) <= 64, short).otherwise(dense))
+        stored_like = vector.cosine(asked, F.col("text_vector")) if stored else None
+        df = df.withColumn("_similar", stored_like if stored else F.when(F.size(words_of) <= 64, short).otherwise(vector.folded_similarity(asked, words_of)))
         similar = F.col("_similar")
         share = text.overlap(words, F.col("_tokens"))
         people = text.overlap(words, text.token_set(F.concat_ws(" ", F.array_join(F.coalesce(col("people", "array<string>"), F.array().cast("array<string>")), " "), col("face_labels"))))

@@ -460,6 +460,15 @@ def text_embedding(spark, d):
     return e.where("value <> 0").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
+@query("""with w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)) as w from documents),
+s as (select doc_id, ('0x' || substr(sha1(w), 1, 8))::bigint % 96 as i, sum(case when ('0x' || substr(sha1(w), 9, 2))::bigint % 2 = 1 then -1.0 else 1.0 end) as v from w group by 1, 2),
+n as (select doc_id, sqrt(sum(v * v)) as n from s group by 1)
+select s.doc_id, s.i as dim, round(v / n.n, 6) as value from s join n using (doc_id) where v <> 0""")
+def document_embedding(spark, d):
+    e = vector.embedded_texts(t(spark, d, "documents"), "doc_id", text.tokens(F.col("text")))
+    return e.select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
 @query("""with q as (select list_transform(embedding, lambda x: x::double) as q from embeddings where vec_id = 0)
 select vec_id as id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), q), 6) as score from embeddings, q where vec_id <> 0 order by score desc, id limit 32""")
 def cosine_topk(spark, d):
@@ -528,6 +537,21 @@ def hybrid_search(spark, d):
     return search.search(assets(spark, d), "order urgent").select("id", "score")
 
 
+@query(f"""with b as (select doc_id as id, concat_ws(' ', text, source, lang) as blob, text, case quality when 1 then 'KEPT' when 0 then 'REVIEW' end as review_state from documents left join labels using (doc_id) where toxic is distinct from 1),
+q as (select ['thtion', 'lement', 'estion'] as q), w as (select id, unnest(list_filter(regexp_extract_all(lower(blob), '[a-z0-9]+'), lambda x: length(x) > 1)) as w from b),
+s as (select id, ('0x' || substr(sha1(w), 1, 8))::bigint % 96 as i, sum(case when ('0x' || substr(sha1(w), 9, 2))::bigint % 2 = 1 then -1.0 else 1.0 end) as v from w group by 1, 2),
+qs as (select ('0x' || substr(sha1(w), 1, 8))::bigint % 96 as i, sum(case when ('0x' || substr(sha1(w), 9, 2))::bigint % 2 = 1 then -1.0 else 1.0 end) as v from (select unnest(q) as w from q) group by 1),
+n as (select id, sqrt(sum(v * v)) as n from s group by 1), c as (select s.id, sum(s.v * qs.v) / (any_value(n.n) * (select sqrt(sum(v * v)) from qs)) as sim from s join qs using (i) join n on n.id = s.id where n.n > 0 group by s.id),
+r as (select b.id, round_even(coalesce(c.sim, 0) * 0.62 + len(list_intersect(q.q, {_TOK.format('blob')})) / 3.0 * 0.26 + case when len(list_intersect(q.q, {_TOK.format("coalesce(text, '')")})) > 0 then 0.14 else 0 end + case when review_state = 'KEPT' then 0.03 else 0 end, 4) as score from b cross join q left join c on c.id = b.id)
+select id, score from r where score > 0 order by score desc, id desc limit 100""")
+def document_search(spark, d):
+    labels = t(spark, d, "labels")
+    docs = t(spark, d, "documents").join(labels, "doc_id", "left")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    found = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("extracted_text"), "source", F.col("lang").alias("media_type"), F.expr("case quality when 1 then 'KEPT' when 0 then 'REVIEW' end").alias("review_state"), none("dt_original", "string"), none("gps_lat", "double"), none("gps_lon", "double"))
+    return search.search(found, "thtion lement estion", hidden=labels.where("toxic = 1").select(F.col("doc_id").alias("asset_id"))).select("id", "score")
+
+
 @query(f"""with {A} select id, round_even(0.01 + coalesce(case when user_rating <> 0 then least(0.12, user_rating * 0.02) end, 0) + coalesce(least(0.08, greatest(0, review_score) * 0.01), 0) + case when review_state in ('REVIEWED', 'RANKED', 'KEPT') then 0.03 else 0 end, 4) as score from a order by score desc, dt_original desc, id desc limit 40""")
 def browse_search(spark, d):
     return search.search(assets(spark, d), limit=40).select("id", "score")

@@ -160,6 +160,36 @@ def test_search_finds_text_first(spark):
     assert abs(one(spark, dense) - one(spark, sparse)) < 1e-9
 
 
+def test_whole_documents_are_embedded_and_searched(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import Row
+
+    from pixelmill.plans import catalog_queries
+
+    rng = np.random.default_rng(9)
+    texts = {1: " ".join(f"word{i}" for i in rng.integers(0, 900, 20_000)), 2: " ".join(f"word{i}" for i in rng.integers(0, 900, 300)) + " lement", 3: "short lement", 4: None, 5: "lement lement", 6: ""}
+    spark.createDataFrame([(i, x, "en", "a") for i, x in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def brute(x):
+        out = np.zeros(96)
+        for w in x.split():
+            h = hashlib.sha1(w.encode()).digest()
+            out[int.from_bytes(h[:4], "big") % 96] += -1.0 if h[4] & 1 else 1.0
+        return out / (np.linalg.norm(out) or 1.0)
+
+    got = catalog_queries.queries()["document_embedding"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["dim"]): r["value"] for r in got} == {(i, k): round(v, 6) for i, x in texts.items() if x for k, v in enumerate(brute(x).tolist()) if v}
+    hits = {r["id"]: r["score"] for r in catalog_queries.queries()["document_search"](spark, str(tmp_path)).collect()}
+    assert set(hits) >= {2, 3} and 5 not in hits and hits[3] > hits[2]
+    asked = vector.query_embedding("thtion lement estion")
+    for i in (1, 2):
+        words = spark.createDataFrame([Row(w=texts[i].split())]).select(vector.folded_similarity(F.array(*map(F.lit, asked)), F.col("w")).alias("s")).first()["s"]
+        assert abs(words - float(np.dot(asked, brute(texts[i])))) < 1e-9
+    assert one(spark, vector.folded_similarity(F.array(*map(F.lit, asked)), F.array().cast("array<string>"))) == 0.0
+
+
 def test_journal(spark):
     j = spark.createDataFrame([(1, "t", "a", "b", None, None), (2, "t", "b", "c", None, None)], "seq long, target_id string, before_json string, after_json string, undone_at string, redone_at string")
     u = journal.undo(j, "now")
