@@ -141,8 +141,9 @@ def _share(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Re
         return
     count = count.astype(np.int64)
     start = np.cumsum(count) - count
-    order = np.argsort(digest, kind="stable")  # a set that several tasks saw counts once
-    first = order[np.append(True, digest[order][1:] != digest[order][:-1])]
+    slot = _slot_of(token[start], len(keys))  # a task may hold several slots, each with a segment of the set
+    order = np.lexsort((slot, digest))  # a set that several tasks saw counts once
+    first = order[np.append(True, (digest[order][1:] != digest[order][:-1]) | (slot[order][1:] != slot[order][:-1]))]
     at = _segments(start[first], count[first])
     digest, size, count, token = digest[first], size[first], count[first], token[at]
     owner = np.repeat(np.arange(len(digest)), count)

@@ -115,6 +115,20 @@ def test_jaccard_equals_brute_force(spark, docs, chunk):
     assert left.columns == df.columns
 
 
+def test_shares_of_two_slots_in_one_task():
+    import pyarrow as pa
+
+    parts = [np.array([1, 2], np.uint64), np.array([1 << 63, 1 << 63 | 5, 1 << 63 | 9], np.uint64)]
+    rows = [{"slot": 7, "digests": np.array([d], "<u8").tobytes(), "sizes": np.array([5], "<u4").tobytes(), "counts": np.array([len(t)], "<u4").tobytes(), "tokens": t.tobytes()} for t in parts for d in (11, 12, 11)]
+    batch = pa.RecordBatch.from_pylist([{"ids": None} | r for r in rows], jaccard_join._PACKED)
+    shares = [r for b in jaccard_join._share(iter([batch]), [7, 7]) for r in b.to_pylist()]
+    got = collections.Counter()
+    for r in shares:
+        for d, n in zip(np.frombuffer(r["digests"], "<u8").tolist(), np.frombuffer(r["counts"], "<u4").tolist()):
+            got[d] += n
+    assert got == {11: 5, 12: 5} and {x for r in shares for x in np.frombuffer(r["dfs"], "<u4").tolist()} == {2}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.components(empty(spark)).count() == 0
 
