@@ -284,8 +284,8 @@ def _across_chunks(local: DataFrame, survivors: DataFrame, parts: int) -> DataFr
     return _relabel(local, links(hosts.select(cell).union(guests.select(cell))))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id (``_NO_ID`` for null), n, digest, group for every row of ``docs``; rows of one group are connected."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     keys = slot_keys(spark, parts)
@@ -309,14 +309,48 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         local = _across_chunks(local, survivors, parts)
 
     rows = shared.where("slot is null").select("doc_id", "n", "digest").join(local.select("digest", "component"), "digest", "left")
-    rows = rows.select("doc_id", "n", F.coalesce("component", "digest").alias("group"))
+    return rows.select("doc_id", "n", "digest", F.coalesce("component", "digest").alias("group"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    rows = _grouped(docs, id_col, text_col, chunk).drop("digest")
     lowest = rows.where("n > 0").groupBy("group").agg(F.min(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))).alias("low")).repartition("low")
     some = rows.where("n > 0").join(lowest, "group").select("doc_id", "n", "low")
     none = rows.where("n = 0").select("doc_id", "n", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("low"))
     return some.unionByName(none).select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("low").alias("component_id"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the digest of their shingle set as a further column."""
+    for batch in batches:
+        for at, texts in blocks(batch):
+            part = batch.slice(at, len(texts))
+            digest = [xxhash.xxh3_64_intdigest(s) for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(digest, np.uint64).view(np.int64))], [*part.schema.names, "_digest"])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component, all columns kept; rows without an id stay."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each component, all columns kept; rows without words stay.
+
+    The row is one of the smallest doc_id, a null one counting as the largest, then of the
+    smallest set digest.  Rows whose id no other row has are told apart by it; the others, and
+    those without an id, by id and digest, and of equals among them one stays.
+    """
+    rows = stage_table(_grouped(docs), "jaccard-rows")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    order = F.struct((F.col("doc_id") == _NO_ID).alias("none"), "doc_id", "digest")
+    first = rows.where("n > 0").groupBy("group").agg(F.min(order).alias("f")).select("group", F.col("f.doc_id").alias("kept"), F.col("f.digest").alias("as")).repartition("kept")
+    told = rows.where("n > 0").join(first, "group")
+    lost = told.where("doc_id <> kept").select(F.col("doc_id").alias("_id")).distinct()
+    many = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("_id") == _NO_ID)).select("_id")
+    many = stage_table(many, "jaccard-repeated")
+    if not many.limit(1).count():
+        return docs.join(lost, key == F.col("_id"), "left_anti").select(docs.columns)
+    clear = docs.join(lost.union(many), key == F.col("_id"), "left_anti").select(docs.columns)
+    held = docs.join(many, key == F.col("_id"), "left_semi").select(*docs.columns, key.alias("_id"))
+    held = held.mapInArrow(_digests, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", _digest bigint")
+    kept = told.where("doc_id = kept and digest = as").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("_kept")).union(rows.where("n = 0").select("doc_id", "digest", F.lit(False))).distinct()
+    held = held.join(kept, ["_id", "_digest"])
+    one = held.where("_kept").groupBy("_id", "_digest").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("r")).select("r.*")
+    return clear.unionByName(one).unionByName(held.where("not _kept").select(docs.columns))

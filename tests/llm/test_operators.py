@@ -115,6 +115,18 @@ def test_jaccard_equals_brute_force(spark, docs, chunk):
     assert left.columns == df.columns
 
 
+def test_one_row_of_each_component(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey pink")
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "own"), (3, c, "p"), (3, c, "q"), (None, "no id here but some words", "m"), (None, "no id here but some words", "n"), (None, c, "z"), (4, None, "s"), (4, "", "t"), (None, None, "u"), (5, "a clear row with its own words", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    left = jaccard_join.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "no id here but some words"), (4, None), (4, ""), (None, None), (5, "a clear row with its own words")], key=repr)
+    plain = df.where("doc_id in (1, 5)").union(spark.createDataFrame([(6, a, "w")], df.schema))
+    assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(plain).collect()) == [1, 5]
+
+
 def test_shares_of_two_slots_in_one_task():
     import pyarrow as pa
 
