@@ -324,7 +324,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     first = p.where(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     first = first.select("key", "first_id").repartition("first_id")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    again = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("page_id"))
+    again = F.coalesce(F.col("first_id") != F.col("page_id"), F.lit(False))  # a page without an id keeps its payload
     return p.join(first, "key", "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         urn(F.col("page_id")).alias("record_id"),

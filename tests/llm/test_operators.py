@@ -255,6 +255,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_the_payload_of_a_page_without_id(spark):
+    import base64
+
+    pages = spark.createDataFrame([(1, "u1", "<p>a</p>"), (None, "u2", "<p>a</p>"), (None, "u3", "<p>b</p>"), (4, "u4", "<p>a</p>")], "page_id long, url string, html string")
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()), key=repr)
+    a, b = digest(b"<p>a</p>"), digest(b"<p>b</p>")
+    assert got == sorted([(1, 8, a, "response", None), (None, 8, a, "response", None), (None, 8, b, "response", None), (4, 8, a, "revisit", 1)], key=repr)
+
+
 def test_warc_plain_and_pushdown():
     import io
 
