@@ -13,7 +13,7 @@ gives no pieces.  sequence_id is unique per row of the result, not consecutive.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +30,27 @@ END_ID = 1
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> ChunkMemo:
+def _encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts in a row and the bounds of each text in them, as the library's call without special tokens around gives them."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-    return ChunkMemo(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], fold=True)
+    library = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    memo = ChunkMemo(library, fold=True)
+    added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+
+    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if any(x in text for x in added)]  # an added token is one id, which chunks would cut
+        if not whole:
+            return memo(texts)
+        held = set(whole)
+        flat, bounds = memo([b"" if i in held else text for i, text in enumerate(texts)])
+        parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for i, ids in zip(whole, library([texts[i].decode("utf-8", "replace") for i in whole])):
+            parts[i] = np.array(ids, np.uint32)
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    return encode
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -52,11 +67,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             for at, texts in blocks(batch):
-                flat, bounds = memo(texts)
+                flat, bounds = encode(texts)
                 raw = flat.astype("<u4").tobytes()
                 doc, start, length, total, ids = [], [], [], [], []
                 for i, a, b in zip(ids_of[at : at + len(texts)], bounds[:-1].tolist(), bounds[1:].tolist()):

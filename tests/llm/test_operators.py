@@ -212,6 +212,18 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), entry.WORD_JSON).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = {1: "a <|endoftext|> b", 2: "plain text, as ever", 3: "<|startoftext|><|endoftext|>", 4: "<|ENDOFTEXT|> is text", 5: "x" * 3000 + "<|endoftext|>é", 6: ""}
+    tok = Tokenizer.from_file(entry.WORD_JSON)
+    pieces = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1), entry.WORD_JSON).collect()
+    for i, text in texts.items():
+        own = sorted((r["start"], bytes(r["ids"])) for r in pieces if r["doc_id"] == i)
+        assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids + [1], i
+    assert 49407 in np.frombuffer(b"".join(bytes(r["ids"]) for r in pieces if r["doc_id"] == 1), "<u4")
+
+
 def test_piece_lengths():
     for n in (1, 2, 3, 2047, 2048, 2049, 9000):
         k = packing.piece_lengths(n)
