@@ -31,9 +31,11 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a new one if that is unset and the master local."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pixelmill-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -46,6 +48,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pixelmill-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of a staged table; a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -53,7 +59,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +74,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slots(df: DataFrame, size: int, most: int = 8192) -> int:
+    """Tasks to deal ``df`` to, about ``size`` bytes of its input each: the shuffle partitions, more for a large input."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(most, known // size) if known < 1 << 60 else 0)
+
+
 def slot_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of ``n`` partitions an integer that Spark's hash partitioning sends there.
 
@@ -76,13 +88,14 @@ def slot_keys(spark: SparkSession, n: int) -> list[int]:
     """
     from pyspark.sql import functions as F
 
-    span = max(64, int(n * (6 + 2 * len(str(n)))))
-    rows = (
-        spark.range(span, numPartitions=1)
-        .select(F.col("id").cast("int").alias("k"))
-        .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("slot"))
-        .agg(F.min("k").alias("k"))
-        .collect()
-    )
-    keys = {r["slot"]: r["k"] for r in rows}
-    return [keys.get(i, i) for i in range(n)]
+    span, keys = max(64, int(n * (6 + 2 * len(str(n))))), {}
+    while len(keys) < n:
+        rows = (
+            spark.range(span, numPartitions=1)
+            .select(F.col("id").cast("int").alias("k"))
+            .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("slot"))
+            .agg(F.min("k").alias("k"))
+            .collect()
+        )
+        keys, span = {r["slot"]: r["k"] for r in rows}, 2 * span
+    return [keys[i] for i in range(n)]
