@@ -9,7 +9,7 @@ be alike in one task, and no task may grow with a hot group, so the join goes in
 2. A set can only have a partner if at least 75 % of its shingles are shared; most documents end
    here.  A partner must share one of the set's ``n - ceil(0.75 n) + 1`` rarest shingles, so sets
    that meet in such a shingle, and transitively so, form a family.  No link leaves a family.
-3. A family of up to ``CHUNK`` sets is one tree, joined with itself by dual traversal.  A larger
+3. A family of up to ``CHUNK`` sets and ``CELL`` bytes is one tree, joined with itself by dual traversal.  A larger
    one is dealt into chunks: each chunk's tree is joined with itself, then with a few sets of
    the first chunk's largest component, which connects what is alike almost everywhere, and at
    last the sets outside the family's largest component are joined with the tree of each other
@@ -17,7 +17,9 @@ be alike in one task, and no task may grow with a hot group, so the join goes in
    chunks that aren't connected by then, one is outside, so no link is lost.
 4. Components of the links give each document the smallest doc_id it can reach.
 
-Intersections need only shared shingles, so nothing but those is moved for comparing.
+Intersections need only shared shingles, so nothing but those is moved for comparing.  A task
+sorts ``HELD`` bytes of shingles at once, whatever the number of partitions: beyond that they go
+to scratch files by further bits first.  The steps run jobs while the query is being built.
 
 Cases: with fewer than five words the whole sequence is the one shingle; a null or empty text,
 or one without words, has none, links with nothing and is its own component; rows of one
@@ -27,6 +29,8 @@ alone; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +43,15 @@ from pyspark.sql import functions as F
 from pixelmill.llm.sigtree import Forest, Tree, bits_for, join
 from pixelmill.llm.textkern import blocks, shingle_sets
 from pixelmill.operators.graph import connected_components
-from pixelmill.session import shuffle_partitions, slot_keys, stage_table
+from pixelmill.session import slot_keys, slots, stage_table
 
 CHUNK = 2048
 LEADERS = 16
-FLUSH = 4 << 20  # shingles a map task holds before it deals them out
+FLUSH = 1 << 20  # shingles a map task holds before it deals them out
+SEEN = 1 << 20  # digests by which a map task knows sets that it has dealt
+HELD = 16 << 20  # bytes of shingles a task sorts at once
+CELL = 16 << 20  # bytes of shared shingles in a chunk's sets, and in the guests joined with it at once
+FANOUT = 16
 _NO_ID = -(1 << 63)
 _PACKED = pa.schema([("slot", pa.int32()), ("ids", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 _PACKED_DDL = "slot int, ids binary, digests binary, sizes binary, counts binary, tokens binary"
@@ -60,6 +68,67 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
 
 
+#: Columns of a run of sets, one value per set (first three) or per shingle.
+Run = list[np.ndarray]
+
+
+def _split(run: Run, part: np.ndarray, parts: int) -> Iterator[tuple[int, Run]]:
+    """``run`` dealt by the part of each shingle: (part, what falls there), a set keeping its digest and size in each."""
+    digest, size, count, *each = run
+    order = np.argsort(part, kind="stable")
+    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)[order]
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        a, b = int(cut[p]), int(cut[p + 1])
+        edge = _runs(owner[a:b])
+        who = owner[a:b][edge[:-1]]
+        yield p, [digest[who], size[who], np.diff(edge).astype(np.uint32), *(x[order[a:b]] for x in each)]
+
+
+def _bounded(runs: Iterator[Run], by_set: bool, level: int = 0) -> Iterator[Run]:
+    """``runs`` as blocks of about ``HELD`` bytes; what has the same digest (``by_set``) or the same shingle is in one block.
+
+    Beyond ``HELD`` the runs go to scratch files of this task by further bits of the digest or
+    shingle, and each file is treated in the same way.  A block grows larger only if one digest
+    or shingle does.
+    """
+    held: list[Run] = []
+    files: list = []
+    size = 0
+    try:
+        for run in runs:
+            held.append(run)
+            size += sum(x.nbytes for x in run)
+            if size > HELD and (files or level < 8):
+                files = files or [tempfile.TemporaryFile() for _ in range(FANOUT)]
+                for one in held:
+                    bits = one[0] if by_set else one[3]
+                    part = ((bits >> np.uint64(4 * level)) & np.uint64(FANOUT - 1)).astype(np.uint8)
+                    for p, own in _split(one, np.repeat(part, one[2]) if by_set else part, FANOUT):
+                        pickle.dump(own, files[p], 5)
+                held, size = [], HELD
+        if not files:
+            if held:
+                yield [np.concatenate(x) for x in zip(*held)]
+            return
+        held = []
+        for f in files:
+            f.seek(0)
+            yield from _bounded(_replay(f), by_set, level + 1)
+            f.close()
+    finally:
+        for f in files:
+            f.close()
+
+
+def _replay(f) -> Iterator[Run]:
+    while True:
+        try:
+            yield pickle.load(f)
+        except EOFError:
+            return
+
+
 def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
     """Packed blocks of shingles by slot, and one row per text block with every document's id, size and digest."""
     parts, here, seen = len(keys), TaskContext.get().partitionId(), set()
@@ -70,22 +139,14 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
         nonlocal sets, held
         if not sets:
             return
-        length = np.array([len(s) for s in sets])
+        length = np.array([len(s) for s in sets], np.uint32)
         token = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), length)
         digest = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64)
-        slot = _slot_of(token, parts)
-        order = np.argsort(slot.astype(np.uint16) if parts <= 1 << 16 else slot, kind="stable")
-        token, owner = token[order], owner[order]
-        cut = np.searchsorted(slot[order], np.arange(parts + 1))
+        sets = []
         rows: dict[str, list] = {n: [] for n in _PACKED.names}
-        for p in range(parts):
-            a, b = int(cut[p]), int(cut[p + 1])
-            if a < b:
-                run = _runs(owner[a:b])
-                who = owner[a:b][run[:-1]]
-                for name, value in zip(_PACKED.names, (keys[p], None, digest[who].tobytes(), length[who].astype(np.uint32).tobytes(), np.diff(run).astype(np.uint32).tobytes(), token[a:b].tobytes())):
-                    rows[name].append(value)
+        for p, run in _split([digest, length, length, token], _slot_of(token, parts).astype(np.uint16 if parts <= 1 << 16 else np.int64), parts):
+            for name, value in zip(_PACKED.names, (keys[p], None, *(x.tobytes() for x in run))):
+                rows[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _PACKED], schema=_PACKED)
         sets, held = [], 0
 
@@ -99,6 +160,8 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PACKED)], schema=_PACKED)
             for d, s in zip(digest, found):
                 if len(s) and d not in seen:
+                    if len(seen) >= SEEN:  # a set may then be dealt again, which the receiver undoes
+                        seen.clear()
                     seen.add(d)
                     sets.append(s)
                     held += len(s)
@@ -107,19 +170,19 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Rec
     yield from flush()
 
 
-def _gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> tuple[list[np.ndarray], list[tuple]]:
-    """Rows with tokens as one array per column, other rows as they are."""
-    parts: dict[str, list] = {k: [] for k in kinds}
-    rest = []
+def _packed_runs(batches: Iterator[pa.RecordBatch], names: list[str], rest: list[pa.RecordBatch]) -> Iterator[Run]:
+    """The rows that hold shingles; rows of ids are added to ``rest``, twenty bytes a document."""
+    kinds = {"digests": "<u8", "sizes": "<u4", "counts": "<u4", "tokens": "<u8", "dfs": "<u4"}
     for b in batches:
-        columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-        for i, tokens in enumerate(columns["tokens"]):
-            if tokens is None:
-                rest.append((columns["ids"][i], columns["sizes"][i], columns["digests"][i]))
-                continue
-            for k in kinds:
-                parts[k].append(columns[k][i])
-    return [np.frombuffer(b"".join(parts[k]), kinds[k]) for k in kinds], rest
+        columns = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
+        for i in range(b.num_rows):
+            row = {n: columns[n][i].as_py() for n in names}
+            if row["tokens"] is None:
+                ids = np.frombuffer(columns["ids"][i].as_py(), "<i8")
+                own = [pa.array(ids), pa.array(np.frombuffer(row["sizes"], "<u4").astype(np.int32)), pa.array(np.frombuffer(row["digests"], "<i8"))]
+                rest.append(pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(ids), f.type) for f in list(_SHARED)[3:])], schema=_SHARED))
+            else:
+                yield [np.frombuffer(row[n], kinds[n]) for n in names]
 
 
 def _segments(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -129,45 +192,43 @@ def _segments(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _share(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
-    """Of one range of shingles those that two sets have, by document; id rows go through."""
-    (digest, size, count, token), rest = _gather(batches, {"digests": "<u8", "sizes": "<u4", "counts": "<u4", "tokens": "<u8"})
-    empty = {f.name: None for f in _SHARED}
-    for ids, sizes, digests in rest:
-        i = np.frombuffer(ids, "<i8")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i), pa.array(np.frombuffer(sizes, "<u4").astype(np.int32)), pa.array(np.frombuffer(digests, "<i8")), *(pa.nulls(len(i), f.type) for f in list(_SHARED)[3:])], schema=_SHARED
-        )
-    if not len(digest):
-        return
+    """Of some ranges of shingles those that two sets have, by document; id rows go through."""
+    rest: list[pa.RecordBatch] = []
+    for run in _bounded(_packed_runs(batches, ["digests", "sizes", "counts", "tokens"], rest), False):
+        yield from rest
+        rest.clear()
+        found = _shared_of(run, len(keys))
+        del run
+        if found:
+            empty = {f.name: None for f in _SHARED}
+            slot = (found[0] % np.uint64(len(keys))).astype(np.int64)
+            rows = [empty | dict(zip(("slot", "digests", "sizes", "counts", "tokens", "dfs"), (keys[p], *(x.tobytes() for x in own)))) for p, own in _split(found, np.repeat(slot, found[2]), len(keys))]
+            yield pa.RecordBatch.from_pylist(rows, _SHARED)
+    yield from rest
+
+
+def _shared_of(run: Run, parts: int) -> Run | None:
+    """Of the block those shingles that two sets have, with their frequency; a set that several tasks saw counts once."""
+    digest, size, count, token = run
     count = count.astype(np.int64)
     start = np.cumsum(count) - count
-    slot = _slot_of(token[start], len(keys))  # a task may hold several slots, each with a segment of the set
-    order = np.lexsort((slot, digest))  # a set that several tasks saw counts once
-    first = order[np.append(True, (digest[order][1:] != digest[order][:-1]) | (slot[order][1:] != slot[order][:-1]))]
-    at = _segments(start[first], count[first])
-    digest, size, count, token = digest[first], size[first], count[first], token[at]
-    owner = np.repeat(np.arange(len(digest)), count)
-    order = np.argsort(token, kind="stable")
-    run = _runs(token[order])
-    times = np.diff(run)
+    slot = _slot_of(token[start], parts)  # a block may hold several slots, each with a segment of the set
+    order = np.lexsort((slot, digest))
+    again = (digest[order][1:] == digest[order][:-1]) & (slot[order][1:] == slot[order][:-1])
+    if again.any():
+        first = order[np.append(True, ~again)]
+        token = token[_segments(start[first], count[first])]
+        digest, size, count = digest[first], size[first], count[first]
+    order = np.argsort(token)
+    edge = _runs(token[order])
+    times = np.diff(edge).astype(np.uint32)
     df = np.empty(len(token), np.uint32)
     df[order] = np.repeat(times, times)
+    del order
     keep = df > 1
-    token, owner, df = token[keep], owner[keep], df[keep]
-    if not len(token):
-        return
-    slot = (digest % np.uint64(len(keys))).astype(np.int64)
-    order = np.argsort(slot[owner], kind="stable")
-    token, owner, df = token[order], owner[order], df[order]
-    cut = np.searchsorted(slot[owner], np.arange(len(keys) + 1))
-    rows = []
-    for p in range(len(keys)):
-        a, b = int(cut[p]), int(cut[p + 1])
-        if a < b:
-            run = _runs(owner[a:b])
-            who = owner[a:b][run[:-1]]
-            rows.append(empty | {"slot": keys[p], "digests": digest[who].tobytes(), "sizes": size[who].tobytes(), "counts": np.diff(run).astype(np.uint32).tobytes(), "tokens": token[a:b].tobytes(), "dfs": df[a:b].tobytes()})
-    yield pa.RecordBatch.from_pylist(rows, _SHARED)
+    left = np.add.reduceat(keep, np.cumsum(count) - count, dtype=np.int64)
+    some = left > 0
+    return [digest[some], size[some], left[some].astype(np.uint32), token[keep], df[keep]] if some.any() else None
 
 
 _SURVIVOR = pa.schema([("digest", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -175,53 +236,60 @@ _SURVIVOR = pa.schema([("digest", pa.int64()), ("n", pa.int32()), ("tokens", pa.
 
 def _survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that can have a partner: their shared shingles, and those of their rarest ones that are shared."""
-    (digest, size, count, token, df), _ = _gather(batches, {"digests": "<u8", "sizes": "<u4", "counts": "<u4", "tokens": "<u8", "dfs": "<u4"})
-    if not len(digest):
-        return
-    count = count.astype(np.int64)
-    start = np.cumsum(count) - count
-    order = np.argsort(digest, kind="stable")
-    run = _runs(digest[order])
-    shared = np.add.reduceat(count[order], run[:-1])
-    n = size[order][run[:-1]].astype(np.int64)
-    able = np.flatnonzero(4 * shared >= 3 * n)
-    rows, held = [], 0
-    for k in able.tolist():
-        blocks_of = order[run[k] : run[k + 1]]
-        at = _segments(start[blocks_of], count[blocks_of])
-        own, often, whole = token[at], df[at], int(n[k])
-        prefix = whole - (3 * whole + 3) // 4 + 1 - (whole - len(own))
-        rare = own[np.lexsort((own, often))[:prefix]]
-        rows.append({"digest": int(digest[order[run[k]]].view(np.int64)), "n": whole, "tokens": np.sort(own).tobytes(), "prefix": rare.view(np.int64)})
-        held += 16 * len(own)
-        if held > 8 << 20:
+    for digest, size, count, token, df in _bounded(_packed_runs(batches, ["digests", "sizes", "counts", "tokens", "dfs"], []), True):
+        count = count.astype(np.int64)
+        start = np.cumsum(count) - count
+        order = np.argsort(digest, kind="stable")
+        run = _runs(digest[order])
+        shared = np.add.reduceat(count[order], run[:-1])
+        n = size[order][run[:-1]].astype(np.int64)
+        able = np.flatnonzero(4 * shared >= 3 * n)
+        rows, held = [], 0
+        for k in able.tolist():
+            blocks_of = order[run[k] : run[k + 1]]
+            at = _segments(start[blocks_of], count[blocks_of])
+            own, often, whole = token[at], df[at], int(n[k])
+            prefix = whole - (3 * whole + 3) // 4 + 1 - (whole - len(own))
+            rare = own[np.lexsort((own, often))[:prefix]]
+            rows.append({"digest": int(digest[order[run[k]]].view(np.int64)), "n": whole, "tokens": np.sort(own).tobytes(), "prefix": rare.view(np.int64)})
+            held += 16 * len(own)
+            if held > 4 << 20:
+                yield pa.RecordBatch.from_pylist(rows, _SURVIVOR)
+                rows, held = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, _SURVIVOR)
-            rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, _SURVIVOR)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], dict[str, list]]]:
-    """The partition's rows by (family, chunk)."""
-    cells: dict[tuple[int, int], dict[str, list]] = {}
+def _cells(batches: Iterator[pa.RecordBatch], names: list[str], guests: int = CELL) -> Iterator[dict[str, list]]:
+    """Rows sorted by (family, chunk[, role]) cell by cell; a cell's guests (role 1) come ``guests`` bytes at a time, each time with its own sets."""
+    here, own, more, size = None, {}, {}, 0
     for b in batches:
-        names = b.schema.names
-        for row in zip(*(b.column(i).to_pylist() for i in range(len(names)))):
-            r = dict(zip(names, row))
-            cell = cells.setdefault((r["family"], r["chunk"]), {k: [] for k in names})
-            for k in names:
-                cell[k].append(r[k])
-    yield from cells.items()
+        columns = [b.column(b.schema.get_field_index(n)) for n in ("family", "chunk", *names)]
+        for i in range(b.num_rows):
+            family, chunk, *row = (c[i].as_py() for c in columns)
+            if (family, chunk) != here:
+                if here is not None:
+                    yield {n: own[n] + more[n] for n in names}
+                here, own, more, size = (family, chunk), {n: [] for n in names}, {n: [] for n in names}, 0
+            guest = "role" in names and row[names.index("role")] == 1
+            for n, v in zip(names, row):
+                (more if guest else own)[n].append(v)
+            if guest and (size := size + len(row[names.index("tokens")])) > guests:
+                yield {n: own[n] + more[n] for n in names}
+                more, size = {n: [] for n in names}, 0
+    if here is not None:
+        yield {n: own[n] + more[n] for n in names}
 
 
 def _tree_self(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each cell's tree joined with itself: (digest, component), the component's smallest digest."""
-    for _, c in _cells(batches):
+    for c in _cells(batches, ["digest", "n", "tokens"]):
         sets, sizes, digest = [np.frombuffer(t, "<u8") for t in c["tokens"]], np.array(c["n"], np.int64), np.array(c["digest"], np.int64)
         forest = Forest(np.arange(len(sets)))
-        tree = Tree(np.arange(len(sets)), sets, sizes, bits_for(sets))
-        for _ in join(tree, tree, sets, sizes, forest):
-            pass
+        if len(sets) > 1:
+            tree = Tree(np.arange(len(sets)), sets, sizes, bits_for(sets))
+            for _ in join(tree, tree, sets, sizes, forest):
+                pass
         roots = forest.roots()
         low = np.full(len(sets), np.iinfo(np.int64).max)
         np.minimum.at(low, roots, digest)
@@ -230,10 +298,10 @@ def _tree_self(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tree_cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each cell's own sets (role 0) joined with its guests (role 1): links between components."""
-    for _, c in _cells(batches):
+    for c in _cells(batches, ["role", "n", "tokens", "component"]):
         sets, sizes = [np.frombuffer(t, "<u8") for t in c["tokens"]], np.array(c["n"], np.int64)
         role, component = np.array(c["role"]), np.array(c["component"], np.int64)
-        if role.min() == role.max():
+        if not len(role) or role.min() == role.max():
             continue
         _, first, back = np.unique(component, return_index=True, return_inverse=True)
         low = np.full(len(first), len(sets), np.int64)
@@ -270,7 +338,7 @@ def _across_chunks(local: DataFrame, survivors: DataFrame, parts: int) -> DataFr
     rows = big.where("chunk > 0").withColumn("role", F.lit(0)).select(cell).union(guests.select(cell))
 
     def links(rows: DataFrame) -> DataFrame:
-        held = rows.join(survivors.select("digest", "n", "tokens"), "digest").repartition(parts, "family", "chunk")
+        held = rows.join(survivors.select("digest", "n", "tokens"), "digest").repartition(parts, "family", "chunk").sortWithinPartitions("family", "chunk", "role")
         return stage_table(held.mapInArrow(_tree_cross, "src bigint, dst bigint"), "jaccard-links")
 
     local = stage_table(_relabel(local, links(rows)), "jaccard-leaders")
@@ -287,7 +355,7 @@ def _across_chunks(local: DataFrame, survivors: DataFrame, parts: int) -> DataFr
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id (``_NO_ID`` for null), n, digest, group for every row of ``docs``; rows of one group are connected."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = slots(docs, 10 << 20)
     keys = slot_keys(spark, parts)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = source.mapInArrow(lambda it: _deal(it, keys), _PACKED_DDL).repartition(parts, "slot")
@@ -298,11 +366,14 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     rare = survivors.select("digest", F.explode("prefix").alias("token"))
     meet = rare.groupBy("token").agg(F.min("digest").alias("low"), F.count("*").alias("k")).where("k > 1").select("token", "low").repartition("low")
     families = connected_components(rare.join(meet, "token").select("digest", "low").where("digest <> low").distinct(), "digest", "low")
-    families = stage_table(families.select(F.col("id").alias("digest"), F.col("component").alias("family")), "jaccard-families")
-    size = families.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_chunks")).repartition("n_chunks", "family")
-    placed = families.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("n_chunks")).cast("int"))
+    members = families.select(F.col("id").alias("digest"), F.col("component").alias("family")).join(survivors.select("digest", F.octet_length("tokens").alias("bytes")), "digest")
+    members = stage_table(members, "jaccard-families")
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("bytes") / CELL)).cast("int")
+    size = members.groupBy("family").agg(chunks.alias("n_chunks")).repartition("n_chunks", "family")
+    placed = members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("n_chunks")).cast("int"))
     placed = stage_table(placed.select("digest", "family", "chunk", "n_chunks"), "jaccard-cells")
-    cells = placed.join(survivors.select("digest", "n", "tokens"), "digest").select("family", "chunk", "digest", "n", "tokens").repartition(parts, "family", "chunk")
+    cells = placed.join(survivors.select("digest", "n", "tokens"), "digest").select("family", "chunk", "digest", "n", "tokens")
+    cells = cells.repartition(parts, "family", "chunk").sortWithinPartitions("family", "chunk")
     found = cells.mapInArrow(_tree_self, "digest bigint, component bigint")
     local = stage_table(placed.join(found, "digest"), "jaccard-local")
     if local.where("n_chunks > 1").limit(1).count():
