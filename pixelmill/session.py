@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
@@ -70,14 +71,46 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """For each of ``names`` one that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_of(df: DataFrame, *without: str) -> Column:
+    """All columns of ``df`` in one struct, so that working columns beside it can't clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without])
+
+
+def from_row(row: str, columns: list[str]) -> list[Column]:
+    """The columns that ``row_of`` has put into ``row``."""
+    return [F.col(f"{row}.`{c}`").alias(c) for c in columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes that ``df`` reads, as the optimizer reckons them; None where it doesn't know."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else None
+
+
 def slots(df: DataFrame, size: int, most: int = 8192) -> int:
     """Tasks to deal ``df`` to, about ``size`` bytes of its input each: the shuffle partitions, more for a large input."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(df.sparkSession), min(most, known // size) if known < 1 << 60 else 0)
+    return max(shuffle_partitions(df.sparkSession), min(most, (input_bytes(df) or 0) // size))
+
+
+def read_together(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with tiny splits read by one task, about ``size`` bytes each where there are more than cores."""
+    known = input_bytes(df)
+    return df if known is None else df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, known // size)))
 
 
 def slot_keys(spark: SparkSession, n: int) -> list[int]:
@@ -86,8 +119,6 @@ def slot_keys(spark: SparkSession, n: int) -> list[int]:
     ``repartition(n, key)`` over these keys deals exactly one key to each task, where
     plain consecutive integers would leave some tasks empty and give others several.
     """
-    from pyspark.sql import functions as F
-
     span, keys = max(64, int(n * (6 + 2 * len(str(n))))), {}
     while len(keys) < n:
         rows = (
