@@ -2,13 +2,16 @@
 
 Features of a text are its distinct words, word pairs and pairs around one word, hashed into
 ``2 ** BITS`` cells.  Training reads a sample of at most ``SAMPLE_ROWS`` labelled rows, those
-with the smallest hash of their id, in one task; per-coordinate learning rates and the L1 term
-leave most cells at zero, so the model is a short list of weights.  Its size is bounded by the
-number of cells whatever the corpus, and only that list goes to the executors.
-
-Cases: a null or empty text has no features and gets the intercept's score; labels that are
-null are not learned from; repeated labelled rows count as often as they occur; without any
-labelled row every score is 0; texts of any length are scored whole.
+with the smallest hash of their id, ``EPOCHS`` times in one task; per-coordinate learning rates
+and the L1 term leave most cells at zero, so the model is a short list of weights.  Its size is
+bounded by the number of cells whatever the corpus, and only that list goes to the executors.
+Training runs a job while the query is being built.
+
+Cases: a null or empty text has no features and gets the intercept's score; null labels and
+labels without an id are not learned from, nor is a null id held out; equal labels of one id
+count once, the rows of a repeated id each, within the bound on rows; without any labelled row
+every score is 0; an empty table gives an empty result; texts of any length are scored whole;
+further columns pass through whatever their names, but for the score's, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelmill.llm.textkern import blocks, doc_words, mix
+from pixelmill.session import free_names, from_row, row_of
 
 BITS = 20
 SAMPLE_ROWS = 12_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
-EPOCHS = 4  # at least; a small sample is read up to ten times as often
+EPOCHS = 10
 THRESHOLD = 0.7
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,11 +87,11 @@ def learned_from(id_col: str = "doc_id") -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(rank, label, text)`` of at most ``rows`` labelled rows, those with the smallest hash of their id.
+    """``(rank, label, text)`` of the rows of at most ``rows`` labelled ids, those with the smallest hash.
 
     The chosen ids are at most ``rows`` pairs of numbers, so they are broadcast to the documents.
     """
-    chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and _id is not null")
+    chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and _id is not null").distinct()
     chosen = chosen.withColumn("rank", F.xxhash64("_id")).orderBy("rank", "label").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "_id").select("rank", "label", "text")
@@ -107,22 +111,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
         data = sorted((r, y, c) for b in it for r, y, c in zip(*(b.column(i).to_pylist() for i in range(3))))
         model, rng = Ftrl(bits), np.random.default_rng(1)
         decoded = [(np.frombuffer(c, np.int32), y) for _, y, c in data]
-        for _ in range(min(10 * epochs, max(epochs, 4 * SAMPLE_ROWS // max(1, len(decoded))))):
+        for _ in range(epochs):
             for i in rng.permutation(len(decoded)).tolist():
                 model.learn(*decoded[i])
         at, w, w0 = model.weights()
-        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([w0])], ["cells", "weights", "intercept"])
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([w0]), pa.array([len(decoded)])], ["cells", "weights", "intercept", "n"])
 
     rows_of = sample(docs, labels.where(learned_from()), label_col, rows).mapInArrow(cells, "rank bigint, label int, cells binary")
-    found = rows_of.repartition(1).mapInArrow(fit, "cells binary, weights binary, intercept double").collect()
-    if not found or not found[0]["intercept"]:
+    rows_of = rows_of.orderBy("rank", "label", "cells").limit(rows)  # rows of repeated ids count towards the bound
+    found = rows_of.mapInArrow(fit, "cells binary, weights binary, intercept double, n bigint").collect()
+    if not found or not found[0]["n"]:
         return np.empty(0, np.int32), np.empty(0, np.float32), -700.0
     return np.frombuffer(found[0]["cells"], np.int32), np.frombuffer(found[0]["weights"], np.float32), found[0]["intercept"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``, the probability of label 1; a column of that name is replaced."""
-    source = docs.drop(out_col)
+    columns = [c for c in docs.columns if c != out_col]
+    source = docs.select(row_of(docs, out_col).alias("row"))
     cells, weights, intercept = model
     sent = docs.sparkSession.sparkContext.broadcast((cells, weights))
 
@@ -130,21 +136,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
         table = np.zeros(1 << bits, np.float32)
         table[sent.value[0]] = sent.value[1]
         for batch in it:
-            for at, texts in blocks(batch, text_col):
+            for at, texts in blocks(pa.RecordBatch.from_struct_array(batch.column(0)), text_col):
                 found = features(texts, bits)
                 s = np.array([float(table[f].sum()) for f in found]) + intercept
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -700, 700))))], [*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -700, 700))))], ["row", "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    scored = source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.select(*from_row("row", columns), F.col("score").alias(out_col))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (~learned_from()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
-    return score(docs, train(docs, labels), out_col="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (name,) = free_names(docs, "toxicity")
+    return score(docs, train(docs, labels), out_col=name).where(F.col(name) < threshold).drop(name)
