@@ -5,11 +5,14 @@ vote patterns (at most ``2 ** len(LABELLERS)`` rows, counted over all documents)
 often each labeller fires on poor and on good texts, and so the probability that a pattern is
 good.  These posterior labels of a bounded sample of documents (``SAMPLE_ROWS`` with the
 smallest hash of their id) train a linear scorer over hashed words and word shapes, which then
-scores every document.
+scores every document.  A training row holds the distinct cells of its whole text with their
+counts, at most ``2 ** BITS``.  Training runs jobs while the query is being built.
 
 Cases: a null or empty text gets no votes and no features, so its score is the intercept's, and
-it is kept if the labellers' model finds voteless texts good; repeated rows are each counted;
-an empty table gives an empty result; texts of any length are read whole.
+it is kept if the labellers' model finds voteless texts good; repeated rows are each counted,
+within the bound on training rows; rows without an id are counted and scored but not trained
+on; an empty table gives an empty result; texts of any length are read whole; further columns
+pass through whatever their names, but for the three results, which replace columns of theirs.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelmill.llm.textkern import IS_SPACE, blocks, mix, segments, word_hashes
+from pixelmill.session import free_names, from_row, row_of
 
 BITS = 16
 SAMPLE_ROWS = 8_000
@@ -121,14 +125,13 @@ def fit_label_model(counts: dict[int, int], rounds: int = 60) -> np.ndarray:
     return posterior
 
 
-def _fit_scorer(rows: list[tuple[np.ndarray, float]], bits: int, epochs: int) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic model on cell frequencies, by AdaGrad."""
+def _fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs: int) -> np.ndarray:
+    """Weights (the last is the intercept) of a logistic model on cell frequencies, by AdaGrad; rows: cells, counts, label."""
     w, g2 = np.zeros((1 << bits) + 1), np.full((1 << bits) + 1, 1e-6)
     rng = np.random.default_rng(3)
     data = []
-    for cells, y in rows:
-        found, n = np.unique(cells, return_counts=True)
-        data.append((np.append(found, 1 << bits), np.append(np.sqrt(3.0 * n / max(1, len(cells))), 1.0), y))
+    for found, n, y in rows:
+        data.append((np.append(found, 1 << bits).astype(np.int32), np.append(np.sqrt(3.0 * n / max(1, int(n.sum()))), 1.0), y))
     for _ in range(epochs):
         for i in rng.permutation(len(data)).tolist():
             cells, x, y = data[i]
@@ -166,50 +169,49 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     counted = source.select("text").mapInArrow(count, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior = fit_label_model({r["pattern"]: r["n"] for r in counted})
 
-    chosen = source.select("_id").where("_id is not null").withColumn("rank", F.xxhash64("_id")).orderBy("rank").limit(rows)
-    picked = source.join(F.broadcast(chosen.distinct()), "_id").select("rank", "text")
+    chosen = source.select("_id").where("_id is not null").distinct().withColumn("rank", F.xxhash64("_id")).orderBy("rank").limit(rows)
+    picked = source.join(F.broadcast(chosen), "_id").select("rank", "text")
 
     def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at, texts in blocks(batch):
                 pattern, found = votes_and_features(texts, bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(posterior[pattern]), pa.array([_packed(c, bits) for c in found], pa.binary())], ["rank", "y", "cells"])
+                held = [np.unique(c, return_counts=True) for c in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array(posterior[pattern]), pa.array([c.astype("<u4").tobytes() for c, _ in held], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in held], pa.binary())],
+                    ["rank", "y", "cells", "counts"],
+                )
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = sorted((r, y, c) for b in it for r, y, c in zip(*(b.column(i).to_pylist() for i in range(3))))
-        w = _fit_scorer([(np.frombuffer(c, "<u2").astype(np.int32), y) for _, y, c in data], bits, epochs) if data else np.zeros((1 << bits) + 1, np.float32)
+        data = sorted(row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(4))))
+        w = _fit_scorer([(np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4"), y) for _, y, c, n in data], bits, epochs) if data else np.zeros((1 << bits) + 1, np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    model = picked.mapInArrow(cells, "rank bigint, y double, cells binary").repartition(1).mapInArrow(fit, "w binary").collect()
+    # rows of repeated ids count towards the bound
+    sample = picked.mapInArrow(cells, "rank bigint, y double, cells binary, counts binary").orderBy("rank", "y", "cells", "counts").limit(rows)
+    model = sample.mapInArrow(fit, "w binary").collect()
     return posterior, np.frombuffer(model[0]["w"], np.float32) if model else np.zeros((1 << bits) + 1, np.float32)
 
 
-def _packed(cells: np.ndarray, bits: int) -> bytes:
-    """A training row's cells; of a very long text every k-th word, so that a row stays small."""
-    assert bits <= 16
-    k = max(1, len(cells) // (3 * 4096))
-    return cells.reshape(-1, 3)[::k].ravel().astype("<u2").tobytes()
-
-
-def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, text_col: str = "text", bits: int = BITS, prefix: str = "") -> DataFrame:
-    """``docs`` with votes (a pattern), posterior, score (both P(good)); columns of these names are replaced."""
-    names = [prefix + x for x in ("votes", "posterior", "score")]
-    source = docs.drop(*names)
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col=text_col, bits=bits))
+def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, names: tuple[str, ...] = ("votes", "posterior", "score")) -> DataFrame:
+    """``docs`` with votes (a pattern), posterior, score (both P(good)); columns of these ``names`` are replaced."""
+    columns = [c for c in docs.columns if c not in names]
+    source = docs.select(row_of(docs, *names).alias("row"))
+    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, id_col, text_col, bits=bits))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w = sent.value
         for batch in it:
-            for at, texts in blocks(batch, text_col):
+            for at, texts in blocks(pa.RecordBatch.from_struct_array(batch.column(0)), text_col):
                 pattern, cells = votes_and_features(texts, bits)
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pattern), pa.array(posterior[pattern]), pa.array(_score(cells, w))], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(pattern), pa.array(posterior[pattern]), pa.array(_score(cells, w))], ["row", "votes", "posterior", "score"])
 
-    added = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    added = [T.StructField("votes", T.LongType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    scored = source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    return scored.select(*from_row("row", columns), *[F.col(c).alias(name) for c, name in zip(("votes", "posterior", "score"), names)])
 
 
 def keep_good(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with their columns."""
-    p = "_quality_"
-    return classify(docs, prefix=p).where(F.col(p + "score") >= threshold).drop(p + "votes", p + "posterior", p + "score")
+    names = free_names(docs, "votes", "posterior", "score")
+    return classify(docs, names=names).where(F.col(names[2]) >= threshold).drop(*names)
