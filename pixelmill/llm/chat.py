@@ -1,19 +1,22 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Prefix sums of the turns' tokens cut a conversation into bins of ``budget - reserve`` tokens.
-Turns that lie inside a bin share a window; a turn that crosses a bin's border has one of its
-own, so a window's new turns exceed the budget only where a single turn does.  Each window
-starts with the conversation's system turn (its first turn, if that is one) and repeats up to
-``history`` turns before its first new one, as far as ``reserve`` allows.  The loss mask covers
-the new assistant turns; repeated turns are never targets, so each is one exactly once.
+Prefix sums of the turns' tokens cut a conversation into bins of ``budget`` less what is kept
+for repeats: ``reserve`` tokens, or the conversation's system turn (its first turn, if that is
+one) where that is longer.  Turns that lie inside a bin share a window; a turn that crosses a
+bin's border has one of its own.  Each window starts with the system turn and repeats up to
+``history`` turns before its first new one, as far as the rest of the kept tokens goes.  So a
+window exceeds the budget only where its system turn and one new turn alone do.  The loss mask
+covers the new assistant turns; repeated turns are never targets, so each is one exactly once.
+A turn is reckoned at a quarter of its code points, rounded up, and four tokens for its marks.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside a text, with any
 number of backslashes after their first character, get one backslash more there; reading back
 takes one away, so any text is restored exactly.  In roles, backslash and line feed are escaped.
 
 Cases: null texts and roles are empty; turns are ordered by turn, then role and text, so that
-repeated turn numbers have a fixed order (a null turn first); an unknown role is kept as it
-is and is no target; an empty table gives no windows; further columns are ignored.
+repeated turn numbers have a fixed order (a null turn first); turns without a conversation id
+make one conversation, whose id is null; an unknown role is kept as it is and is no target; an
+empty table gives no windows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,17 +49,16 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    """A backslash becomes one and an ``s``, a line feed one and an ``n``; no backslash stands by itself."""
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    plain = F.regexp_replace(role, r"\\\\", "\u0000")
-    plain = F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
-    return unescape(plain)
+    return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\")))
 
 
 def turn_tokens(text: Column) -> Column:
-    """Tokens a turn is reckoned at: a quarter of its code points, and four for its marks."""
+    """Tokens a turn is reckoned at: a quarter of its code points, rounded up, and four for its marks."""
     return F.ceil(F.length(text) / 4).cast("long") + 4
 
 
@@ -67,21 +69,23 @@ def windows(turns: DataFrame, budget: int = BUDGET, reserve: int = RESERVE, hist
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    room = budget - reserve
     t = t.withColumns({"i": F.row_number().over(order), "tokens": turn_tokens(F.col("text"))})
-    t = t.withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    low, high = F.floor((F.col("end") - F.col("tokens")) / room), F.floor((F.col("end") - 1) / room)
+    is_system = (F.col("i") == 1) & (F.col("role") == "system")
+    # The system turn is in every window, so it takes no room of a bin.
+    t = t.withColumns({"size": F.when(is_system, F.lit(0)).otherwise(F.col("tokens")), "system_tokens": F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(order)})
+    t = t.withColumns({"end": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "room": F.greatest(F.lit(budget) - F.greatest(F.lit(reserve), F.col("system_tokens")), F.lit(1))})
+    begin_at = F.col("end") - F.col("size")
+    low, high = F.floor(begin_at / F.col("room")), F.floor(F.greatest(F.col("end") - 1, begin_at) / F.col("room"))
     t = t.withColumn("w", F.when(low == high, 2 * low).otherwise(2 * low + 1))
     same = Window.partitionBy("conv_id", "w")
     t = t.withColumn("first", F.min("i").over(same))
     by_i = Window.partitionBy("conv_id").orderBy("i")
     # Turn i is repeated by the window that starts k turns later, if all turns from i up to there fit the reserve.
-    begin = lambda k: F.lead("end", k).over(by_i) - F.lead("tokens", k).over(by_i) - (F.col("end") - F.col("tokens"))
+    begin = lambda k: F.lead("end", k).over(by_i) - F.lead("size", k).over(by_i) - begin_at
     ahead = [F.struct(F.lead("w", k).over(by_i).alias("w"), F.lead("first", k).over(by_i).alias("first"), begin(k).alias("span"), F.lit(k).alias("k")) for k in range(1, history + 1)]
-    is_system = (F.col("i") == 1) & (F.col("role") == "system")
-    system = F.when(is_system, F.struct("role", "text", "tokens"))
+    system = F.when(is_system, F.struct("role", "text"))
     t = t.withColumn("ahead", F.array(*ahead)).withColumn("system", F.first(system).over(by_i.rowsBetween(Window.unboundedPreceding, 0)))
-    left = F.lit(reserve) - F.coalesce(F.col("system.tokens"), F.lit(0))
+    left = F.lit(budget) - F.col("room") - F.col("system_tokens")
     later = F.filter("ahead", lambda a: (a["first"] == F.col("i") + a["k"]) & (a["span"] <= left) & ~is_system)
     own = F.array(F.struct(F.col("w").alias("w"), F.lit(2).alias("kind")))
     others = F.transform(later, lambda a: F.struct(a["w"].alias("w"), F.lit(1).alias("kind")))
