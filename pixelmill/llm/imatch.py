@@ -8,13 +8,14 @@ long documents both have subsets with one or a few of their terms.  The fingerpr
 these hashes, and the likeness of two is the share of equal ones among the subsets that are not
 empty for both.
 
-The lexicon is the one thing broadcast.  Its size is bounded: a term needs at least
-``postings / LEXICON`` documents, and no more than ``LEXICON`` terms can have that many.
-
-Cases: a text of which no subset keeps a term is fingerprinted by all its terms together and is like only
-its equals; a null text counts as empty, and texts without terms share one fingerprint;
-repeated ids are ordered by a hash of their text; a null doc_id comes first; an empty table
-gives an empty result.
+The lexicon is broadcast while it has at most ``LEXICON`` rows, which are counted first; a larger
+one is joined by a shuffle.  The fingerprints are the same either way.  Counting runs jobs while
+the query is being built.
+
+Cases: a text of which no subset keeps a term is fingerprinted by one hash of all its distinct
+terms, sorted, and is like only its equals; a null text counts as empty, and texts without terms
+share one fingerprint; repeated ids are ordered by a hash of their text; a null doc_id comes
+first; an empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -37,14 +38,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str = "text", limit: int = LEXICON) -> DataFrame:
-    """The terms in the band by subset: one row (term, k) for each subset that keeps the term."""
+    """The terms in the band by subset: one row (term, k) for each subset that keeps the term; marked for broadcast if few."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = stage_table(texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "imatch-df")
-    n, postings = docs.count(), counted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("p")).first()["p"]
-    least = max(2, int(low * n), -(-postings // limit))
+    n = docs.count()
+    least = max(2, int(low * n))
     band = counted.where(F.col("df").between(least, max(least, int(high * n))))
     subsets = [F.when(F.pmod(F.xxhash64("term", F.lit(k + 1)), F.lit(16 << 2 * (k // 8))) == 0, F.lit(k)) for k in range(SUBSETS)]
-    return band.select("term", F.explode(F.array_compact(F.array(*subsets))).alias("k"))
+    kept = band.select("term", F.explode(F.array_compact(F.array(*subsets))).alias("k"))
+    return F.broadcast(kept) if kept.count() <= limit else kept
 
 
 def _bucket(x: Column, bounds: list[int]) -> Column:
@@ -125,9 +127,9 @@ def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _sum_of(found: Column) -> Column:
-    """An order-free hash of all terms."""
-    return F.xxhash64(F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)), F.size(found))
+def _hash_of(found: Column) -> Column:
+    """One hash of all distinct terms, sorted."""
+    return F.xxhash64(F.array_sort(found))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -142,13 +144,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "bucket", "sentinel", "doc_id", "n_chars", F.xxhash64("text").alias("tie"), F.unhex(F.sha2("edited", 256)).alias("sha"),
         terms(F.col("text")).alias("t0"), F.coalesce(terms(F.col("edited")), F.array().cast("array<bigint>")).alias("t1"), F.monotonically_increasing_id().alias("rid"),
     )
-    mark = F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("of"))
+    mark = F.struct(F.xxhash64("rid").alias("term"), F.lit(0).alias("of"))  # keeps rows without terms; its hash spreads them
     tagged = F.concat(F.array(mark), F.transform("t0", lambda x: F.struct(x.alias("term"), F.lit(1).alias("of"))), F.transform("t1", lambda x: F.struct(x.alias("term"), F.lit(2).alias("of"))))
     keys = ["bucket", "rid", "sentinel", "doc_id", "n_chars", "tie", "sha", "rest0", "rest1"]
     # What a document has once is worked out before its terms are exploded.
-    once = rows.select(*keys[:-2], _sum_of(F.col("t0")).alias("rest0"), _sum_of(F.col("t1")).alias("rest1"), tagged.alias("tagged"))
+    once = rows.select(*keys[:-2], _hash_of(F.col("t0")).alias("rest0"), _hash_of(F.col("t1")).alias("rest1"), tagged.alias("tagged"))
     long_form = once.select(*keys, F.explode("tagged").alias("x")).select(*keys, "x.term", "x.of")
-    hit = long_form.join(F.broadcast(terms_of_band), "term", "left").where("of = 0 or k is not null")
+    hit = long_form.join(terms_of_band, "term", "left").where("of = 0 or k is not null")
     first = [F.first(c).alias(c) for c in keys[2:]]
     key = (F.col("of") * SUBSETS + F.col("k")).cast("int")
     found = F.array_sort(F.collect_list(F.when(F.col("of") > 0, F.struct(key.alias("key"), "term"))))
