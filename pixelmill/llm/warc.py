@@ -6,13 +6,20 @@ parsed first; a record that the pushed predicates reject is stepped over, and th
 one that passes is decoded only when the payload column is asked for (option ``payload``).
 Archives are plain or gzipped, one member per record or one for all.
 
-Writing takes the same columns and makes one archive per task, gzipped record by record;
-a task writes under a name of its own attempt and only committed attempts get their final
-name, so lost executors and repeated attempts leave no records twice.
+Writing takes the same columns and makes one archive per task, gzipped record by record.  Each
+write has a folder of its own for the attempts of its tasks, and names that no other write has;
+only committed attempts are moved to their place, so lost executors, repeated attempts and
+writes at the same time leave no record twice and none out.  Files and folders whose names begin
+with ``_`` or ``.`` aren't read.
 
 Cases: an empty payload is a record with an empty body; a revisit has the HTTP header (with
-the full payload's length) and no payload; further WARC headers are in ``headers``; bytes
-after the last whole record raise; an empty folder gives no rows.
+the full payload's length) and no payload; further WARC headers are in ``headers``; an HTTP
+length that is no number is null; a block without the empty line that ends an HTTP header is
+payload as a whole; bytes after the last whole record, a header that doesn't end within
+``MAX_HEADER`` bytes and a WARC length that is no number raise; an empty folder gives no rows.
+Of ``archive_pages``: a null payload is empty; a page without an id keeps its payload and refers
+to nothing; of a repeated id with one payload each row is a response if the id is the smallest;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,8 @@ from __future__ import annotations
 import gzip
 import io
 import json
-import os
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +52,7 @@ _ARROW = pa.schema([
     *[(n, pa.string()) for n in HEADER], ("content_length", pa.int64()), ("http_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
 ])
 READ_SIZE = 1 << 20
+MAX_HEADER = 16 << 20
 
 
 def _fs(path: str):
@@ -102,19 +111,22 @@ class _Stream:
                 return True
         return False
 
-    def line_block(self) -> bytes:
-        """Bytes up to and without the next empty line."""
-        n = 4096
+    def line_block(self, most: int | None = None) -> bytes | None:
+        """Bytes up to and without the next empty line; None, and nothing taken, if there is none within ``most`` bytes."""
+        limit, n = most if most is not None else MAX_HEADER, 4096
         while True:
+            n = min(n, limit)
             whole = self._fill(n)
-            k = self.buf.find(b"\r\n\r\n", self.at)
+            k = self.buf.find(b"\r\n\r\n", self.at, self.at + n)
             if k >= 0:
                 out = self.buf[self.at : k]
                 self.at = k + 4
                 return out
-            if not whole:
-                raise ValueError("an archive ends within a header")
-            n *= 2
+            if n == limit and most is not None and whole:
+                return None
+            if not whole or n == limit:
+                raise ValueError("an archive ends within a header" if not whole else "a header is too long")
+            n *= 4
 
     def read(self, n: int) -> bytes:
         if not self._fill(n):
@@ -140,30 +152,34 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
+def _length(value: str | None) -> int | None:
+    """A length that is a plain number, else None."""
+    return int(value) if value is not None and re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
 def read_records(raw, wanted: list[tuple[str, list]], payload: bool) -> Iterator[tuple]:
     """Rows of one archive; ``wanted``: (column, allowed values, or None for not null)."""
     stream = _Stream(raw)
     while not stream.end():
         head = _fields(stream.line_block())
-        size = int(head.get("content-length", 0))
+        size = _length(head.get("content-length"))
+        if size is None:
+            raise ValueError(f"a record's length is {head.get('content-length')!r}")
         row = {c: head.get(h) for c, h in HEADER.items()}
         if any(row[c] is None if allowed is None else row[c] not in allowed for c, allowed in wanted):
             stream.skip(size + 4)
             continue
-        http, body = None, None
-        if head.get("content-type", "").startswith("application/http"):
-            block = stream.line_block()
+        http, body, left = None, None, size
+        if head.get("content-type", "").startswith("application/http") and (block := stream.line_block(size)) is not None:
             left = size - len(block) - 4
-            http = _fields(block).get("content-length")
-        else:
-            left = size
+            http = _length(_fields(block).get("content-length"))
         if payload:
             body = stream.read(left)
         else:
             stream.skip(left)
         stream.skip(4)
         rest = [(k, v) for k, v in head.items() if k not in HEADER.values()]
-        yield (*row.values(), size, int(http) if http else None, rest, body)
+        yield (*row.values(), size, http, rest, body)
 
 
 class _Files(InputPartition):
@@ -198,7 +214,8 @@ class WarcReader(DataSourceReader):
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
         runs, size = [[]], 0
         for f in sorted(files, key=lambda x: x.path):
-            if f.type != fs.FileType.File or os.path.basename(f.path)[0] in "._":
+            below = f.path[len(path) :] if f.path.startswith(path) and f.path != path else ""
+            if f.type != fs.FileType.File or any(x[0] in "._" for x in below.split("/") if x):
                 continue
             if runs[-1] and size + f.size > self.size:
                 runs.append([])
@@ -252,16 +269,18 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.level = int(options.get("level", 3))
+        self.write_id = uuid.uuid4().hex  # made once, on the driver
+        self.attempts = f"_attempts-{self.write_id}"
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+        name = f"part-{task.partitionId():06d}-{self.write_id}-{task.taskAttemptId()}.warc.gz"
         store, folder = _fs(self.path)
         n = 0
-        store.create_dir(f"{folder}/_attempts", recursive=True)
-        with store.open_output_stream(f"{folder}/_attempts/{name}", compression=None) as out:
+        store.create_dir(f"{folder}/{self.attempts}", recursive=True)
+        with store.open_output_stream(f"{folder}/{self.attempts}/{name}", compression=None) as out:
             for batch in iterator:
                 columns = [c for c in batch.schema.names if c in HEADER or c in ("http_length", "payload")]
                 for values in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)):
@@ -270,18 +289,23 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(name, n)
 
     def commit(self, messages):
+        from pyarrow import fs
+
         store, folder = _fs(self.path)
         for m in messages:
             if m is not None and m.records:
-                store.move(f"{folder}/_attempts/{m.name}", f"{folder}/{m.name}")
-        store.delete_dir(f"{folder}/_attempts")
+                store.move(f"{folder}/{self.attempts}/{m.name}", f"{folder}/{m.name}")
+        if store.get_file_info(f"{folder}/{self.attempts}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{folder}/{self.attempts}")
         with store.open_output_stream(f"{folder}/_SUCCESS") as out:
             out.write(json.dumps({"records": sum(m.records for m in messages if m is not None)}).encode())
 
     def abort(self, messages):
+        from pyarrow import fs
+
         store, folder = _fs(self.path)
-        if store.get_file_info(f"{folder}/_attempts").type:
-            store.delete_dir(f"{folder}/_attempts")
+        if store.get_file_info(f"{folder}/{self.attempts}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{folder}/{self.attempts}")
 
 
 class WarcDataSource(DataSource):
