@@ -6,8 +6,10 @@ it into two known tokens, and merges are ordered by the rank of what they make.
 those of a rank-driven encoder that treats each match of the pattern by itself.
 
 Cases: a null text counts as empty and gives no ids and an empty decoding; an id outside
-the vocabulary raises on decoding; texts of any length are encoded whole; further columns
-pass through unchanged.
+the vocabulary raises on decoding; texts of any length are encoded whole; repeated rows and
+rows without an id are encoded each by itself; an empty table gives an empty result; further
+columns pass through unchanged whatever their names, but for those of the results, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 
 from pixelmill.llm.textkern import blocks
 from pixelmill.llm.tokenmemo import ChunkMemo
+from pixelmill.session import from_row, row_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -104,11 +107,6 @@ def offsets(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return char[start].astype(np.int32), (char[end - 1] + 1).astype(np.int32)
 
 
-def _with(batch: pa.RecordBatch, at: int, n: int, arrays: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    part = batch.slice(at, n)
-    return pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", spans: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit, one binary) and ``n_tokens``.
 
@@ -116,32 +114,36 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", spa
     of the input that have these names are replaced.
     """
     names = ["ids", "n_tokens", *(["char_start", "char_end"] if spans else [])]
-    source = docs.drop(*names)
+    columns = [c for c in docs.columns if c not in names]
+    source = docs.select(row_of(docs, *names).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path, pattern)
         for batch in batches:
-            for at, texts in blocks(batch, text_col):
+            for at, texts in blocks(pa.RecordBatch.from_struct_array(batch.column(0)), text_col):
                 ids, bounds = memo(texts)
                 parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 out = [pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array(np.diff(bounds), pa.int64())]
                 if spans:
                     found = [offsets(p, path) if len(p) else (p, p) for p in parts]
                     out += [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-                yield _with(batch, at, len(texts), out, names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *out], ["row", *names])
 
     added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     added += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in names[2:]]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    encoded = source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    return encoded.select(*from_row("row", columns), *names)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", size: int = 1 << 22) -> DataFrame:
     """``tokens`` with ``decoded`` (the exact bytes) and ``decoded_text`` (UTF-8, U+FFFD where characters are cut)."""
-    source = tokens.drop("decoded", "decoded_text")
+    names = ["decoded", "decoded_text"]
+    columns = [c for c in tokens.columns if c not in names]
+    source = tokens.select(row_of(tokens, *names).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
+            column = pa.RecordBatch.from_struct_array(batch.column(0)).column(columns.index(ids_col))
             length = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
             edge, at = np.cumsum(length), 0
             while at < len(length):
@@ -149,8 +151,8 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", size: int = 1 <<
                 to = max(at + 1, int(np.searchsorted(edge, done + size, "right")))
                 raw = [decode_ids(np.frombuffer(x or b"", "<u4"), path).tobytes() for x in column.slice(at, to - at).to_pylist()]
                 text = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
-                yield _with(batch, at, to - at, [pa.array(raw, pa.binary()), text], ["decoded", "decoded_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary()), text], ["row", *names])
                 at = to
 
     added = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *added])).select(*from_row("row", columns), *names)

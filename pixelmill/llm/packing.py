@@ -6,8 +6,9 @@ a sequence by itself, so no sequence crosses documents and none is padded; seque
 equal length share a bucket and are batched together.
 
 Cases: a null or empty text has the end id alone, one piece of length 1; a text longer than
-``max_len`` gives several full pieces; repeated rows are packed separately; an empty table
-gives no pieces.  sequence_id is unique per row of the result, not consecutive.
+``max_len`` gives several full pieces; repeated rows and rows without an id are packed each by
+itself; an empty table gives no pieces; further columns are ignored whatever their names.
+sequence_id is unique per row of the result, not consecutive.
 """
 
 from __future__ import annotations
