@@ -39,11 +39,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelmill.llm.sigtree import Forest, Tree, bits_for, join
 from pixelmill.llm.textkern import blocks, shingle_sets
 from pixelmill.operators.graph import connected_components
-from pixelmill.session import slot_keys, slots, stage_table
+from pixelmill.session import from_row, row_of, slot_keys, slots, stage_table
 
 CHUNK = 2048
 LEADERS = 16
@@ -393,12 +394,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the digest of their shingle set as a further column."""
+    """(row, id) with the digest of the row's shingle set."""
     for batch in batches:
-        for at, texts in blocks(batch):
-            part = batch.slice(at, len(texts))
+        for at, texts in blocks(pa.RecordBatch.from_struct_array(batch.column(0))):
             digest = [xxhash.xxh3_64_intdigest(s) for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(digest, np.uint64).view(np.int64))], [*part.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns), pa.array(np.array(digest, np.uint64).view(np.int64))], ["row", "id", "digest"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -409,19 +409,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     those without an id, by id and digest, and of equals among them one stays.
     """
     rows = stage_table(_grouped(docs), "jaccard-rows")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     order = F.struct((F.col("doc_id") == _NO_ID).alias("none"), "doc_id", "digest")
     first = rows.where("n > 0").groupBy("group").agg(F.min(order).alias("f")).select("group", F.col("f.doc_id").alias("kept"), F.col("f.digest").alias("as")).repartition("kept")
     told = rows.where("n > 0").join(first, "group")
-    lost = told.where("doc_id <> kept").select(F.col("doc_id").alias("_id")).distinct()
-    many = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("_id") == _NO_ID)).select("_id")
+    lost = told.where("doc_id <> kept").select(F.col("doc_id").alias("id")).distinct()
+    many = rows.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("id") == _NO_ID)).select("id")
     many = stage_table(many, "jaccard-repeated")
+    held = docs.select(row_of(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
+    out = from_row("row", docs.columns)
     if not many.limit(1).count():
-        return docs.join(lost, key == F.col("_id"), "left_anti").select(docs.columns)
-    clear = docs.join(lost.union(many), key == F.col("_id"), "left_anti").select(docs.columns)
-    held = docs.join(many, key == F.col("_id"), "left_semi").select(*docs.columns, key.alias("_id"))
-    held = held.mapInArrow(_digests, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", _digest bigint")
-    kept = told.where("doc_id = kept and digest = as").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("_kept")).union(rows.where("n = 0").select("doc_id", "digest", F.lit(False))).distinct()
-    held = held.join(kept, ["_id", "_digest"])
-    one = held.where("_kept").groupBy("_id", "_digest").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("r")).select("r.*")
-    return clear.unionByName(one).unionByName(held.where("not _kept").select(docs.columns))
+        return held.join(lost, "id", "left_anti").select(out)
+    clear = held.join(lost.union(many), "id", "left_anti").select("row")
+    again = held.join(many, "id", "left_semi").select("row", "id")
+    again = again.mapInArrow(_digests, T.StructType([*again.schema.fields, T.StructField("digest", T.LongType())]))
+    kept = told.where("doc_id = kept and digest = as").select(F.col("doc_id").alias("id"), "digest", F.lit(True).alias("one")).union(rows.where("n = 0").select("doc_id", "digest", F.lit(False))).distinct()
+    again = again.join(kept, ["id", "digest"])
+    one = again.where("one").groupBy("id", "digest").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), "row.text")).alias("row")).select("row")
+    return clear.union(one).union(again.where("not one").select("row")).select(out)
