@@ -28,6 +28,20 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from d),
+k as (select doc_id, s, len(s) as n, md5(array_to_string(list_sort(s), chr(10))) as k from s),
+u as (select k, any_value(s) as s, any_value(n) as n, min(doc_id) as low from k where n > 0 group by k),
+x as (select k, n, unnest(s) as t from u),
+c as (select a.k as x, b.k as y, count(*) as i, any_value(a.n + b.n) as n from x a join x b on a.t = b.t and a.k < b.k group by all),
+e as (select x, y from c where 100 * i >= 75 * (n - i)), b as (select x, y from e union all select y, x from e),
+r as (select k as id, low as c from u union select b.y, r.c from r join b on r.id = b.x),
+m as (select id, min(c) as c from r group by id)
+select k.doc_id, k.n as n_shingles, coalesce(m.c, k.doc_id) as component_id from k left join m on m.id = k.k and k.n > 0
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     dropped = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
@@ -98,12 +112,25 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(extra)))
 
 
-OP9_SQL = r"""
+#: How many of the template's control strings a text holds, by its own list of them.
+_CONTROLS = r"len(regexp_extract_all({0}, '(?:<\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(?:INST\]|/INST\]))'))"
+_ROLE = "length(role) + 2 * " + _CONTROLS.format("role") + r" + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, chr(10), ''))"
+OP9_SQL = rf"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
-  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256
-from t group by conv_id
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, cast(ceil(length(text) / 4.0) as bigint) + 4 as tokens,
+  24 + {_ROLE} + length(text) + {_CONTROLS.format("text")} as chars from t),
+p as (select *, i = 1 and role = 'system' as sys, max(case when i = 1 and role = 'system' then tokens else 0 end) over (partition by conv_id) as sys_tokens,
+  sum(case when i = 1 and role = 'system' then 0 else tokens end) over (partition by conv_id order by i) as upto from o),
+q as (select *, upto - case when sys then 0 else tokens end as since, greatest({chat.BUDGET} - greatest({chat.RESERVE}, sys_tokens), 1) as room from p),
+w as (select *, case when since // room = greatest(upto - 1, since) // room then 2 * (since // room) else 2 * (since // room) + 1 end as w from q),
+f as (select *, min(i) over (partition by conv_id, w) as first_i from w),
+h as (select conv_id, sum(case when sys then chars else 0 end) * (count(distinct w) - 1) as n from f group by 1),
+a as (select x.conv_id, sum(x.chars) as n from f x join f y on x.conv_id = y.conv_id and y.i - x.i between 1 and {chat.HISTORY} and y.first_i = y.i and not x.sys and y.since - x.since <= {chat.BUDGET} - x.room - x.sys_tokens group by 1),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256, sum(chars) as chars from f group by conv_id)
+select g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, cast(g.chars + coalesce(h.n, 0) + coalesce(a.n, 0) as bigint) as formatted_chars
+from g left join h using (conv_id) left join a using (conv_id)
 """
 
 
@@ -127,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat": OP9_SQL}
