@@ -13,7 +13,8 @@ hot text can make large.
 
 Cases: null and empty texts are one class; of rows with the largest doc_id of a class one
 is kept (the first in its partition); a null doc_id ranks below all others; an empty table
-gives an empty result; further columns of the input are ignored.
+gives an empty result; further columns of the input are ignored.  ``kept_documents`` returns
+rows with all their columns; of rows whose id others have too, those equal in text fold first.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.textkern import blocks
-from pixelmill.session import stage_table
+from pixelmill.session import from_row, read_together, row_of, stage_table
 
-BUDGET = 96 << 20  # bytes of distinct texts in one table
+BUDGET = 64 << 20  # bytes of distinct texts and their members in one table
+SPLIT = 16 << 20  # bytes of small splits that one task reads
 FANOUT = 16
 CHUNK = 4096  # members a row carries
 _LOW = -(1 << 63)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class ContentTable:
@@ -77,8 +82,8 @@ class ContentTable:
         return e
 
 
-def grace(records: Iterator[tuple[int, bytes, object]], budget: int = BUDGET, level: int = 0) -> Iterator[tuple[int, bytes, list]]:
-    """``(hash, text, payloads)`` for each distinct text among ``(hash, text, payload)`` records."""
+def grace(records: Iterator[tuple[int, bytes, object]], budget: int = BUDGET, level: int = 0, group: Callable[[], Any] = list) -> Iterator[tuple[int, bytes, Any]]:
+    """``(hash, text, payloads)`` for each distinct text among ``(hash, text, payload)`` records; ``group`` makes what holds payloads."""
     table, groups = ContentTable(budget), []
     spill: list = [None] * FANOUT
     try:
@@ -86,9 +91,10 @@ def grace(records: Iterator[tuple[int, bytes, object]], budget: int = BUDGET, le
             e = table.find(h, text)
             if e < 0 and not table.full(text):
                 e = table.add(h, text, -1 - e)
-                groups.append([])
+                groups.append(group())
             if e >= 0:
                 groups[e].append(load)
+                table.bytes += 16
                 continue
             k = (h >> (60 - 4 * (level % 16))) & (FANOUT - 1)
             if spill[k] is None:
@@ -100,7 +106,7 @@ def grace(records: Iterator[tuple[int, bytes, object]], budget: int = BUDGET, le
         for f in spill:
             if f is not None:
                 f.seek(0)
-                yield from grace(_replay(f), budget, level + 1)
+                yield from grace(_replay(f), budget, level + 1, group)
                 f.close()
     finally:
         for f in spill:
@@ -127,7 +133,7 @@ def _fold(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
 
     def records():
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids = b.column(0).fill_null(_LOW).to_pylist()
             for at, texts in blocks(b):
                 for i, t in zip(ids[at : at + len(texts)], texts):
                     t = t.lower()
@@ -135,19 +141,19 @@ def _fold(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
 
     base = TaskContext.get().partitionId() << 40
     rows, size = [], 0
-    for seq, (h, text, ids) in enumerate(grace(records(), budget)):
-        low = [(_LOW if i is None else i) for i in ids]
-        best = max(low)
-        at = low.index(best)
+    for seq, (h, text, ids) in enumerate(grace(records(), budget, group=lambda: array("q"))):
+        best = max(ids)
+        at = ids.index(best)
         for k in range(0, len(ids), CHUNK):
+            members = ids[k : k + CHUNK]
             rows.append({
                 "h": h - (1 << 64) if h >> 63 else h, "class_id": base + seq, "text": None if k else text, "best": best, "n": len(ids),
-                "members": ids[k : k + CHUNK], "best_at": at - k if k <= at < k + CHUNK else -1, "sha": None if k else hashlib.sha256(text).hexdigest(),
+                "members": members.tolist(), "best_at": at - k if k <= at < k + CHUNK else -1, "sha": None if k else hashlib.sha256(text).hexdigest(),
             })
-        size += len(text) + 100
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_pylist(rows, _LOCAL)
-            rows, size = [], 0
+            size += (0 if k else len(text)) + 40 * len(members) + 400
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(rows, _LOCAL)
+                rows, size = [], 0
     if rows:
         yield pa.RecordBatch.from_pylist(rows, _LOCAL)
 
@@ -179,6 +185,7 @@ def _merge(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (see the module's text)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = read_together(source, SPLIT)  # more copies fold before the shuffle
     local = stage_table(source.mapInArrow(lambda it: _fold(it, budget), _LOCAL_DDL), "grace-local")
     classes = (
         local.where("text is not null")
@@ -186,13 +193,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .repartition("h")
         .mapInArrow(lambda it: _merge(it, budget), "class_id bigint, keep_id bigint, keep_class bigint, group_size bigint, text_sha256 string")
     )
-    members = local.select("class_id", F.posexplode("members").alias("at", "doc_id"), "best_at")
+    members = local.select("class_id", F.posexplode("members").alias("at", "doc_id"), "best_at").withColumn("doc_id", F.nullif("doc_id", F.lit(_LOW)))
     return members.join(classes, "class_id").select(
         "doc_id", "keep_id", "group_size", ((F.col("class_id") == F.col("keep_class")) & (F.col("at") == F.col("best_at"))).alias("kept"), "text_sha256"
     )
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; needs unique ids."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(keep, id_col, "left_semi")
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    A row is found again by its id and its text's SHA-256; of rows that share both one stays.
+    """
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("found"), "text_sha256")
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _UPPER.lower())
+    held = docs.select(row_of(docs).alias("row"), F.col(id_col).cast("long").alias("key"), F.sha2(text, 256).alias("sha"))
+    same = held.join(keep, F.col("key").eqNullSafe(F.col("found")) & (F.col("sha") == F.col("text_sha256")))
+    return same.groupBy("sha").agg(F.first("row").alias("row")).select(*from_row("row", docs.columns))
