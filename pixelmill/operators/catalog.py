@@ -65,10 +65,30 @@ def review_queue(assets: DataFrame, limit: int = 100, offset: int = 0) -> DataFr
     return assets.where("coalesce(review_state, '') in ('NEW', 'REVIEW', '') or user_rating is null").orderBy(*ordering("review")).offset(max(0, offset)).limit(limit)
 
 
-def neighbors(assets: DataFrame, asset_id, keys: list[Column], id_col: str = "id") -> DataFrame:
-    """(previous, next) of one asset in a total order, by two top-1 searches instead of a global window."""
-    w = Window.orderBy(*keys)
-    return assets.select(id_col, F.lag(id_col).over(w).alias("previous_id"), F.lead(id_col).over(w).alias("next_id")).where(F.col(id_col) == asset_id)
+def neighbors(assets: DataFrame, asset_id, keys: list[tuple[str, bool]], id_col: str = "id") -> DataFrame:
+    """(id, previous_id, next_id) of one asset in the order of ``keys`` (column, ascending; nulls last), which end with the id.
+
+    Two top-1 searches on either side of the asset's own row, so nothing is sorted as a whole.
+    """
+    columns = [c for c, _ in keys]
+    own = F.broadcast(assets.where(F.col(id_col) == asset_id).select(F.struct(*columns).alias("_own")).limit(1))
+    beside = assets.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(columns)]).crossJoin(own)  # with one row
+
+    def cond(after: bool) -> Column:
+        out = F.lit(False)
+        for k, (c, up) in reversed(list(enumerate(keys))):
+            x, mine = F.col(f"_{k}"), F.col(f"_own.{c}")
+            beyond = F.coalesce(x > mine if up == after else x < mine, F.lit(False))
+            beyond = beyond | ((x.isNull() & mine.isNotNull()) if after else (x.isNotNull() & mine.isNull()))
+            out = beyond | (x.eqNullSafe(mine) & out)
+        return out
+
+    def nearest(after: bool, name: str) -> DataFrame:
+        order = [(F.col(f"_{k}").asc_nulls_last() if up else F.col(f"_{k}").desc_nulls_last()) if after else (F.col(f"_{k}").desc_nulls_first() if up else F.col(f"_{k}").asc_nulls_first()) for k, (_, up) in enumerate(keys)]
+        return beside.where(cond(after)).orderBy(*order).limit(1).select(F.col("_id").alias(name))
+
+    row = assets.where(F.col(id_col) == asset_id).select(id_col).limit(1)
+    return row.join(nearest(False, "previous_id"), F.lit(True), "left").join(nearest(True, "next_id"), F.lit(True), "left")
 
 
 def on_this_day(assets: DataFrame, month_day: str, limit: int = 12) -> DataFrame:
@@ -197,7 +217,8 @@ def evenly_sampled(df: DataFrame, group: list[str], order: list[Column], k: int)
     at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1)), 0).cast("int")))
     picks = at if k > 1 else F.array(F.floor(F.col("_n") / 2).cast("int"))
     taken = F.array_contains(picks, F.col("_i").cast("int"))
-    spare = F.size(F.filter(F.sequence(F.lit(0), F.col("_i").cast("int")), lambda j: ~F.array_contains(picks, j)))
+    before = F.size(F.filter(picks, lambda p: p < F.col("_i")))  # so many of the rows up to this one are picked
+    spare = F.col("_i") - before + 1
     filled = taken | (spare <= F.lit(k) - F.size(picks)) & ~taken
     return ranked.where((F.col("_n") <= k) | filled).drop("_i", "_n")
 

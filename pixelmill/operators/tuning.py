@@ -12,15 +12,16 @@ def sweep(rows: DataFrame, start: float = 0.60, stop: float = 0.99, step: float
     """Weighted confusion counts, precision, recall and cost of every threshold over (score, label, weight).
 
     Each row is put once into the bin of the last threshold it reaches; the counts of a threshold
-    are then sums over the bins, which are as few as the thresholds.
+    are then sums over the bins, which are as few as the thresholds.  Weights are summed as
+    decimals of six places, so that no order of adding changes a sum.
     """
     n = int(round((stop - start) / step)) + 1
-    at = rows.select(F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    at = rows.select(F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("weight", F.lit(1.0)).cast("decimal(28,6)").alias("weight"))
     k = F.floor((F.col("score") - start) / step + 1e-9)
-    bins = at.groupBy(F.greatest(F.lit(-1), F.least(F.lit(n - 1), k)).cast("int").alias("bin")).agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("label") != 1, F.col("weight")).otherwise(0.0)).alias("neg"))
+    bins = at.groupBy(F.greatest(F.lit(-1), F.least(F.lit(n - 1), k)).cast("int").alias("bin")).agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") != 1, F.col("weight")).otherwise(0)).alias("neg"))
     grid = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), F.round(F.lit(start) + F.col("id") * step, 4).alias("threshold"))
     hit = F.col("bin") >= F.col("k")
-    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0))
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("double")
     counts = grid.join(F.broadcast(bins)).groupBy("k", "threshold").agg(total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("neg", ~hit).alias("tn"), total("pos", ~hit).alias("fn"))
     ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0)
     out = counts.withColumns({"precision": F.bround(ratio("tp", "fp"), 4), "recall": F.bround(ratio("tp", "fn"), 4), "cost": F.bround(F.col("fp") * FALSE_POSITIVE_COST + F.col("fn"), 4)})

@@ -240,12 +240,14 @@ def review_queue(spark, d):
     return catalog.review_queue(assets(spark, d), offset=10).select("id", "user_rating", "review_score")
 
 
-@query("""select o_orderkey, lag(o_orderkey) over w as previous_id, lead(o_orderkey) over w as next_id from orders window w as (partition by o_custkey order by o_orderdate desc, o_orderkey desc)""")
+@query(f"""with {A}, w as (select id, lag(id) over w as previous_id, lead(id) over w as next_id from a window w as (order by dt_original desc nulls last, id desc))
+select * from w where id in ((select max(id) from a), (select min(id) from a), (select quantile_disc(id, 0.5) from a))""")
 def neighbors(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return t(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("previous_id"), F.lead("o_orderkey").over(w).alias("next_id"))
+    a = assets(spark, d)
+    ends = a.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.expr("percentile_disc(0.5) within group (order by id)").cast("bigint").alias("mid")).first()
+    keys = [("dt_original", False), ("id", False)]
+    rows = [catalog.neighbors(a, ends[k], keys) for k in ("low", "mid", "high")]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query(f"with {A} select id, dt_original from a where substr(dt_original, 6, 5) = '03-15' order by dt_original desc, id desc limit 12")
@@ -566,8 +568,9 @@ def _tune_rows(spark, d):
     return t(spark, d, "orders").selectExpr("cast(o_orderkey % 1000 / 1000.0 as double) as score", "case when (o_orderkey * 7) % 1000 + o_orderkey % 1000 > 1200 then 1 else 0 end as label", "case when o_orderkey % 3 = 0 then 0.4D else 1.0D end as weight")
 
 
-@query(f"""with {_TUNE}, g as (select round(0.60 + k * 0.005, 4) as threshold from range(79) t(k)), s as (select threshold, coalesce(sum(weight) filter (score >= threshold and label = 1), 0) as tp, coalesce(sum(weight) filter (score >= threshold and label = 0), 0) as fp, coalesce(sum(weight) filter (score < threshold and label = 0), 0) as tn, coalesce(sum(weight) filter (score < threshold and label = 1), 0) as fn from r, g group by 1)
-select threshold::double as threshold, round(tp, 3) as tp, round(fp, 3) as fp, round(tn, 3) as tn, round(fn, 3) as fn, case when tp + fp > 0 then round(tp / (tp + fp), 4) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 4) else 0 end as recall, round(fp * 5 + fn, 4) as cost from s""")
+@query(f"""with {_TUNE}, g as (select round(0.60 + k * 0.005, 4) as threshold from range(79) t(k)), w as (select score, label, weight::decimal(28, 6) as weight from r),
+s as (select threshold, coalesce(sum(weight) filter (score >= threshold and label = 1), 0)::double as tp, coalesce(sum(weight) filter (score >= threshold and label = 0), 0)::double as fp, coalesce(sum(weight) filter (score < threshold and label = 0), 0)::double as tn, coalesce(sum(weight) filter (score < threshold and label = 1), 0)::double as fn from w, g group by 1)
+select threshold::double as threshold, round_even(tp, 3) as tp, round_even(fp, 3) as fp, round_even(tn, 3) as tn, round_even(fn, 3) as fn, case when tp + fp > 0 then round_even(tp / (tp + fp), 4) else 0 end as precision, case when tp + fn > 0 then round_even(tp / (tp + fn), 4) else 0 end as recall, round_even(fp * 5 + fn, 4) as cost from s""")
 def threshold_sweep(spark, d):
     return tuning.sweep(_tune_rows(spark, d))
 
@@ -609,3 +612,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from pixelmill.plans import view_queries  # noqa: E402, F401  registers its queries
