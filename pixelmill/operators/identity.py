@@ -286,6 +286,106 @@ def merge_evidence(left: np.ndarray, right: np.ndarray, left_assets: set, right_
     return {"score": 0.45 * centroid + 0.35 * top + 0.20 * direction, "centroid": centroid, "top_mean": top, "directional_mean": direction, "cohesion": both} if near or bridge else None
 
 
+#: Centroids less alike than this can never come to the least floor of evidence by merging: a merged
+#: cluster's cohesion is at least 0.67, so its centroid's cosine with another is at most the largest
+#: of its parts' over 0.67, and the same holds for the other one.
+APART = MERGE["least"] * (MERGE["cohesion"] - 0.03) ** 2
+
+
+def merge_plan(profiles: dict[str, tuple[np.ndarray, set]], threshold: float) -> list[tuple[str, str]]:
+    """(source, target) of the merges of a few clusters, best evidence first, each followed by new evidence for what it made."""
+    profiles, plan = {k: v for k, v in profiles.items() if len(v[0]) > 1}, []
+    ids = sorted(profiles)
+    found = {(a, b): merge_evidence(profiles[a][0], profiles[b][0], profiles[a][1], profiles[b][1], threshold) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    rank = lambda pair: (found[pair]["score"], found[pair]["centroid"], found[pair]["cohesion"])
+    while live := sorted(pair for pair, e in found.items() if e):
+        a, b = max(live, key=rank)  # the first pair among equals
+        target, source = sorted((a, b), key=lambda k: (-len(profiles[k][0]), k))
+        plan.append((source, target))
+        (x, seen), (y, more) = profiles[target], profiles.pop(source)
+        profiles[target] = np.concatenate([x, y]), seen | more
+        found = {pair: e for pair, e in found.items() if source not in pair and target not in pair}
+        for k in profiles:
+            if k != target:
+                one, two = sorted((k, target))
+                found[(one, two)] = merge_evidence(profiles[one][0], profiles[two][0], profiles[one][1], profiles[two][1], threshold)
+    return plan
+
+
+def merge_clusters(faces: DataFrame, threshold: float = 0.88, key: str = "identity_id", vec: str = "vector", asset: str = "asset_id") -> DataFrame:
+    """(source, target): identities that are one person by ``merge_evidence``, each with the one it ends in.
+
+    Identities meet only in a component of the graph that links centroids at ``APART``, so the
+    search for the best pair runs block by block and gives what it would over all.  A
+    block's vectors are one task's memory.
+    """
+    known = faces.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.col(asset).cast("string").alias("a"))
+    known = stage_table(known, "identity-profiles")
+    cents = stage_table(centroids(known, "h", "v", unit=True).where("n > 1"), "identity-centroids")
+    own = cents.select(F.col("h").alias("src"), F.col("h").alias("dst"))
+    blocks = connected_components(links(cents, APART, vec="centroid", face_id="h").union(own)).select(F.col("id").alias("h"), F.col("component").alias("block"))
+
+    def run(pdf):
+        profiles = {k: (np.stack(g.v.to_list()), set(g.a.dropna())) for k, g in pdf.groupby("k")}
+        to: dict[str, str] = {}
+        for source, target in merge_plan(profiles, threshold):
+            to = {s: (target if t == source else t) for s, t in to.items()} | {source: target}
+        return type(pdf)({"source": list(to), "target": list(to.values())}, dtype="object")
+
+    return known.join(blocks, "h").groupBy("block").applyInPandas(run, "source string, target string")
+
+
+#: Bars of the clusterer.
+CLUSTER = {"neighbor": 0.72, "below": 0.20, "component": 0.995, "pairwise": 0.67, "assets": 10, "snowball": 6, "merges": 8}
+
+
+def cluster(faces: DataFrame, identities: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(faces, identities) after clustering; faces: id (long), asset_id, identity_id (text), status, vector; identities: id (text), label, status.
+
+    Faces without an identity go to the best one if they reach its bar.  The rest link with
+    their nearest of another asset, components with almost equal centroids become one, and
+    those that cover enough assets and hold together become identities; then faces left over
+    are matched again until none moves, and identities merge while there is evidence.
+    All faces of a pass are matched against the same centroids.  Each pass is staged.
+    """
+    columns = faces.columns
+    faces = stage_table(dominant_length(faces), "cluster-faces")
+
+    def matched(now: DataFrame, people: DataFrame) -> tuple[DataFrame, int]:
+        free = now.where("identity_id is null and status <> 'REJECTED'")
+        cents = centroids(now.where("identity_id is not null and status <> 'REJECTED'"), "identity_id")
+        hits = match(free.drop("identity_id"), cents, clarification=2.0).where("decision = 'assign'").select("id", F.col("identity_id").alias("_to"))
+        hits = hits.join(people.select(F.col("id").alias("_to"), (F.col("status") == "CONFIRMED").alias("_sure")), "_to", "left")
+        out = now.join(hits, "id", "left").withColumns({"identity_id": F.coalesce("identity_id", "_to"), "status": F.when(F.col("_to").isNull(), F.col("status")).when(F.col("_sure"), "LABELED").otherwise("CLUSTERED")})
+        out = stage_table(out.select(columns), "cluster-matched")
+        return out, out.where("identity_id is not null").count() - now.where("identity_id is not null").count()
+
+    faces, _ = matched(faces, identities)
+    rest = faces.where("identity_id is null and status <> 'REJECTED'")
+    found = stage_table(connected_components(nearest(rest, 1, max(CLUSTER["neighbor"], threshold - CLUSTER["below"]), asset="asset_id")), "cluster-components")
+    cents = stage_table(centroids(rest.join(found, "id"), "component", unit=True), "cluster-centroids")
+    alike = connected_components(links(cents, CLUSTER["component"], vec="centroid", face_id="component")).select(F.col("id").alias("component"), F.col("component").alias("_one"))
+    found = found.join(alike, "component", "left").select("id", F.coalesce("_one", "component").alias("component"))
+    good = qualified(found, rest, CLUSTER["assets"], CLUSTER["pairwise"]).where("n > 1").select("component")
+    made = stage_table(found.join(good, "component").select("id", F.concat(F.lit("cluster-"), F.col("component").cast("string")).alias("_to")), "cluster-made")
+    new = made.select(F.col("_to").alias("id")).distinct().select("id", F.concat(F.lit("Cluster "), F.substring("id", 9, 20)).alias("label"), F.lit("CLUSTERED").alias("status"))
+    identities = stage_table(identities.select("id", "label", "status").unionByName(new), "cluster-identities")
+    faces = faces.join(made, "id", "left").withColumns({"identity_id": F.coalesce("identity_id", "_to"), "status": F.when(F.col("_to").isNotNull(), "CLUSTERED").otherwise(F.col("status"))})
+    faces = stage_table(faces.select(columns), "cluster-first")
+    for _ in range(CLUSTER["snowball"]):
+        faces, moved = matched(faces, identities)
+        if not moved:
+            break
+    for _ in range(CLUSTER["merges"]):
+        open_ones = faces.where("status <> 'REJECTED'").join(identities.where("status = 'CLUSTERED'").select(F.col("id").alias("identity_id")), "identity_id", "left_semi")
+        mapping = stage_table(merge_clusters(open_ones, max(MERGE["least"], threshold - CLUSTER["below"])), "cluster-merges")
+        if not mapping.limit(1).count():
+            break
+        identities = stage_table(identities.join(mapping.select(F.col("source").alias("id")), "id", "left_anti"), "cluster-identities")
+        faces, _ = matched(remap(faces, mapping), identities)
+    return faces, identities
+
+
 def remap(faces: DataFrame, mapping: DataFrame, key: str = "identity_id") -> DataFrame:
     """Faces re-pointed along (source, target) merges of identities."""
     return faces.join(mapping.select(F.col("source").alias(key), "target"), key, "left").withColumn(key, F.coalesce("target", key)).drop("target").select(faces.columns)

@@ -245,3 +245,45 @@ def test_standard_and_confidence(spark):
     assert one(spark, schema.confidence(F.lit("image_exif"), F.lit("title"), True)) == 0.72
     assert set(schema.empty(spark, "faces").columns) >= {"bbox", "identity_id"}
     assert catalog.sources(spark.createDataFrame([(" ",), ("a",)], "source string")).count() == 2
+
+
+def at(degrees):
+    return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+
+
+def test_clusters_merge_by_evidence(spark):
+    kinds = "id long, asset_id string, identity_id string, status string, vector array<double>"
+    rows = lambda groups: [(n, f"a{n}", k, "CLUSTERED", at(x)) for n, (k, x) in enumerate((k, x) for k, angles in groups.items() for x in angles)]
+    siblings = spark.createDataFrame(rows({"a": [0] * 8 + [12] * 2, "b": [42] * 8 + [30] * 2}), kinds)
+    assert [tuple(r) for r in identity.merge_clusters(siblings, 0.7).collect()] == [("b", "a")]
+    apart = spark.createDataFrame(rows({"a": [0] * 10, "b": [35] * 10, "c": [70] * 10}), kinds)
+    merged = identity.merge_clusters(apart, 0.7)
+    assert merged.count() == 1
+    after = identity.remap(apart, merged)
+    assert sorted(r["count"] for r in after.groupBy("identity_id").count().collect()) == [10, 20]
+    together = spark.createDataFrame([(n, "same", k, "CLUSTERED", at(x)) for n, (k, x) in enumerate([("a", 0)] * 4 + [("b", 1)] * 4)], kinds)
+    assert identity.merge_clusters(together, 0.7).count() == 0  # faces of one asset are different people
+
+
+def test_clusterer(spark):
+    kinds = "id long, asset_id string, identity_id string, status string, vector array<double>"
+    people = spark.createDataFrame([("p", "Avery", "CONFIRMED")], "id string, label string, status string")
+    rows = [(n, f"a{n}", None, "DETECTED", [0.1] * 168) for n in range(10)]
+    faces, known = identity.cluster(spark.createDataFrame(rows, kinds), people.limit(0), 0.95)
+    assert {(r["identity_id"], r["status"]) for r in faces.collect()} == {("cluster-0", "CLUSTERED")} and known.count() == 1
+    few, _ = identity.cluster(spark.createDataFrame(rows[:9], kinds), people.limit(0), 0.95)
+    assert few.where("identity_id is not null").count() == 0
+    rows = [(n, f"a{n}", "p" if n < 6 else None, "LABELED" if n < 6 else "DETECTED", at(n % 5)) for n in range(8)] + [(n, f"a{n}", None, "DETECTED", at(120 + n % 4)) for n in range(20, 32)] + [(99, "z", None, "REJECTED", at(0))]
+    faces, known = identity.cluster(spark.createDataFrame(rows, kinds), people)
+    got = {r["id"]: (r["identity_id"], r["status"]) for r in faces.collect()}
+    assert {got[n] for n in range(8)} == {("p", "LABELED")} and got[99] == (None, "REJECTED")
+    assert len({got[n] for n in range(20, 32)}) == 1 and got[20][0].startswith("cluster-") and known.count() == 2
+
+
+def test_neighbors_with_missing_times(spark):
+    rows = [(1, "2024-01-01"), (2, None), (3, "2024-01-03"), (4, "2024-01-01"), (5, None)]
+    df = spark.createDataFrame(rows, "id long, dt_original string")
+    order = [3, 4, 1, 5, 2]  # latest first, those without a time last, larger ids first
+    for k, i in enumerate(order):
+        r = catalog.neighbors(df, i, [("dt_original", False), ("id", False)]).first()
+        assert (r["previous_id"], r["next_id"]) == (order[k - 1] if k else None, order[k + 1] if k < 4 else None), i
