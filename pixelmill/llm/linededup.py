@@ -55,7 +55,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     near = F.abs(F.col("sites") - min_sites) <= band
     again = merged.where(near).select(*key, "first").repartition(*reversed(key))
-    exact = lines.join(again, key).groupBy(*key, "first").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    # Grouped by the first occurrence, which names the line too: sums cross a shuffle of their own, so AQE can split a hot line's join.
+    spread = lines.join(again, key).groupBy("first", "site").agg(*[F.first(c).alias(c) for c in key])
+    exact = spread.groupBy("first").agg(F.count("*").alias("sites"), *[F.first(c).alias(c) for c in key]).where(F.col("sites") >= min_sites)
     clear = merged.where(~near & (F.col("sites") > min_sites))
     both = clear.select(*key, "first").unionByName(exact.select(*key, "first"))
     return both.select(*key, F.col("first.doc_id").alias("keep_id"), F.col("first.at").alias("keep_at"))
