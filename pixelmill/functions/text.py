@@ -160,10 +160,10 @@ def number_of(value_real: Column, value_text: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes in steps of 1024, with one decimal from KB on."""
+    """Bytes in steps of 1024, with one decimal from KB on, halves rounded to even."""
     out = F.when(size.isNull(), F.lit(None).cast("string")).when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        shown = F.format_string(f"%.1f {unit}", size / float(1024**k))
+        shown = F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))
         out = out.when(size < 1024 ** (k + 1), shown) if unit != "TB" else out.otherwise(shown)
     return out
 
