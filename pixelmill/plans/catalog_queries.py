@@ -614,4 +614,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from pixelmill.plans import view_queries  # noqa: E402, F401  registers its queries
+from pixelmill.plans import function_queries, graph_queries, view_queries  # noqa: E402, F401  they register their queries
