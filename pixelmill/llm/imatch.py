@@ -129,7 +129,7 @@ def shown(hashes: Column) -> Column:
 
 def _hash_of(found: Column) -> Column:
     """One hash of all distinct terms, sorted."""
-    return F.xxhash64(F.array_sort(found))
+    return F.xxhash64(F.sort_array(found))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     hit = long_form.join(terms_of_band, "term", "left").where("of = 0 or k is not null")
     first = [F.first(c).alias(c) for c in keys[2:]]
     key = (F.col("of") * SUBSETS + F.col("k")).cast("int")
-    found = F.array_sort(F.collect_list(F.when(F.col("of") > 0, F.struct(key.alias("key"), "term"))))
+    found = F.sort_array(F.collect_list(F.when(F.col("of") > 0, F.struct(key.alias("key"), "term"))))
     grouped = hit.groupBy("bucket", "rid").agg(*first, found.alias("found"))
     row = ["bucket", "sentinel", "doc_id", "n_chars", "tie", "sha"]
     chained = grouped.select(*row, "rest0", "rest1", _chained(F.col("found")).alias("chains"))
