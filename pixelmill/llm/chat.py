@@ -103,7 +103,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, reserve: int = RESERVE, hist
         ).alias("x"),
     )
     tail = "<|im_end|>\n"
-    made = piece.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    made = piece.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
     spans = F.aggregate(
         "xs", start,
@@ -134,7 +134,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what the output holds, read back from it."""
-    w = read_back(formatted).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("ws"), F.sum("n_chars").alias("formatted_chars"))
+    w = read_back(formatted).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("ws"), F.sum("n_chars").alias("formatted_chars"))
     turns = F.flatten(F.transform("ws", lambda w: w["turns"]))
     loss = F.concat_ws("", F.flatten(F.transform("ws", lambda w: w["targets"])))
     listing = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))

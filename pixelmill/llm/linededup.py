@@ -72,7 +72,7 @@ def _kept_lines(split: Column, gone: Column) -> Column:
     none = F.lit(None).cast("string")
     lines = F.transform(split, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), _second(x).alias("g"), F.lit(1).alias("is_line"), x.alias("line")))
     marks = F.transform(gone, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), x["g"].alias("g"), F.lit(0).alias("is_line"), none.alias("line")))
-    both = F.array_sort(F.concat(lines, marks))
+    both = F.sort_array(F.concat(lines, marks))
 
     def next_to(pairs: Column) -> Column:
         removed = lambda p: (p["before"]["is_line"] == 0) & (p["before"]["at"] == p["own"]["at"]) & (p["before"]["h"] == p["own"]["h"]) & (p["before"]["g"] == p["own"]["g"])

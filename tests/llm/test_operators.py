@@ -330,7 +330,7 @@ def test_chat_over_driver_table(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
     want = {r[0]: r[1:] for r in con.sql(entry.OP9_SQL).fetchall()}
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in entry.op9_chat(spark, sf_dir).collect()}
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in entry.op9_chat(spark, sf_dir).collect()}
     assert got == want
 
 
@@ -453,7 +453,7 @@ def test_pipeline(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = entry.queries()[name](spark, sf_dir)
     want = con.sql(entry.oracle_sql()[name])
