@@ -221,27 +221,6 @@ def test_duplicates_and_sequences(spark):
     assert {r["n"] for r in dedupe.near_groups(h).collect()} == {97, 98, 99}
 
 
-def test_likes_are_grouped_as_all_pairs_group_them(spark):
-    """Groups from one asset of each kind are those of all linked pairs, nulls and missing hashes included."""
-    rng = np.random.default_rng(11)
-    rows = []
-    for i in range(160):
-        k = int(rng.integers(0, 12))
-        h = None if k == 11 else int(rng.integers(0, 3)) | (k % 4) << 30
-        day = [None, "2024-01-01T00:00:00", "2024-01-01T03:00:00", "bad"][int(rng.integers(0, 4))]
-        rows.append((i, f"id{i}", *[h] * 5, ["image", None][i % 7 == 0], day, ["s", None, ""][k % 3], "file", None))
-    schema_ = "n long, id string, phash long, dhash long, whash long, colorhash long, crop_hash long, media_type string, dt_original string, source string, source_kind string, source_root string"
-    h = spark.createDataFrame(rows, schema_)
-    for most in (6.0, 64.0):
-        root = list(range(160))
-        for r in dedupe.near_pairs(h, most).select(F.substring("src", 3, 9).cast("int"), F.substring("dst", 3, 9).cast("int")).collect():
-            x, y = root[r[0]], root[r[1]]
-            root = [min(x, y) if c in (x, y) else c for c in root]
-        large = {c for c in root if root.count(c) > 1}
-        assert {r["n"]: r["component"] for r in dedupe.near_groups(h, most).collect()} == {i: c for i, c in enumerate(root) if c in large}
-    assert dedupe.near_groups(h.limit(0)).count() == 0
-
-
 def test_one_word_edit_links(spark, tmp_path):
     rng = np.random.default_rng(5)
     words = [f"word{i}" for i in rng.integers(0, 5000, 60)]
