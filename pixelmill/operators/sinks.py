@@ -42,8 +42,8 @@ def sidecars(assets: DataFrame, fields: DataFrame, artifacts: DataFrame) -> Data
 
 
 def build_status(planned: DataFrame, listing: DataFrame) -> DataFrame:
-    """Planned assets against the files that exist: BUILT, or MISSING."""
-    files = listing.select(F.col("path").alias("managed_path"), F.lit(1).alias("_f"))
+    """Planned assets against the files that exist: BUILT, or MISSING; a path that is listed more than once counts once."""
+    files = listing.select(F.col("path").alias("managed_path")).distinct().withColumn("_f", F.lit(1))
     return planned.join(files, "managed_path", "left").withColumn("status", F.when(F.col("_f") == 1, "BUILT").otherwise("MISSING")).drop("_f")
 
 

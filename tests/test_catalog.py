@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelmill import schema
 from pixelmill.functions import geo, text, timex, vector
-from pixelmill.operators import catalog, dedupe, identity, jobs, journal, metadata, search, sinks, tuning
+from pixelmill.operators import catalog, dedupe, identity, jobs, journal, metadata, pipeline, search, sinks, tuning
 from pixelmill.operators.graph import connected_components
 from pixelmill.sources import nested, scan
 
@@ -302,3 +302,15 @@ def test_cluster_statistics_are_exact_in_blocks_and_form_no_pairs(spark):
         assert np.allclose([got["copies"]["mean_similarity"], got["copies"]["p10_similarity"], got["missing"]["p10_similarity"]], 1, atol=1e-12)
         assert {k: x["n"] for k, x in got.items()} == {"mixed": 90, "copies": 40, "alone": 1, "missing": 3}
         assert got["alone"]["mean_similarity"] is None and got["alone"]["p10_similarity"] is None
+
+
+def test_assets_with_one_managed_path_stay_one_row_each(spark):
+    # ids are cut to eight digits in a managed path, so of many assets two may have the same one
+    planned = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "k long, managed_path string")
+    listing = planned.where("k < 4").select(F.col("managed_path").alias("path"))
+    got = sorted((r["k"], r["status"]) for r in sinks.build_status(planned, listing).collect())
+    assert got == [(1, "BUILT"), (2, "BUILT"), (3, "BUILT"), (4, "MISSING")]
+    assets = spark.createDataFrame([("1", "NEW"), ("2", "NEW")], "id string, status string")
+    managed = spark.createDataFrame([("1", "a", "PLANNED"), ("2", "a", "PLANNED")], "asset_id string, managed_path string, status string")
+    built = pipeline.build_library(managed.select(F.col("managed_path").alias("path")))({"assets": assets, "managed_assets": managed})
+    assert sorted(r["id"] + r["status"] for r in built["assets"].collect()) == ["1COPIED", "2COPIED"] and built["managed_assets"].count() == 2
