@@ -159,12 +159,13 @@ def number_of(value_real: Column, value_text: Column) -> Column:
     return F.coalesce(value_real, F.when(value_text.isNotNull(), F.coalesce(F.trim(value_text).try_cast("double"), F.lit(0.0))))
 
 
-def human_size(size: Column) -> Column:
-    """Bytes in steps of 1024, with one decimal from KB on, halves rounded to even."""
+def human_size(size: Column, largest: str = "TB") -> Column:
+    """Bytes in steps of 1024 up to the ``largest`` unit, with one decimal from KB on, halves rounded to even."""
+    units = ["KB", "MB", "GB", "TB"]
     out = F.when(size.isNull(), F.lit(None).cast("string")).when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units[: units.index(largest) + 1], 1):
         shown = F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))
-        out = out.when(size < 1024 ** (k + 1), shown) if unit != "TB" else out.otherwise(shown)
+        out = out.when(size < 1024 ** (k + 1), shown) if unit != largest else out.otherwise(shown)
     return out
 
 

@@ -46,3 +46,13 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     want = con.sql(catalog_queries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert got == rows(want.columns, want.fetchall())
+
+
+def test_sizes_of_large_part_keys_equal_sql(spark, sf_dir, tmp_path):
+    keys = [1, 1048, 1049, 1_073_741, 1_073_742, 1_199_999, 5_000_000_000]
+    duckdb.sql(f"copy (select k as p_partkey, x.* exclude (p_partkey) from (select * from '{sf_dir}/part.parquet' limit 1) x, (select unnest({keys}) as k)) to '{tmp_path}/part.parquet' (format parquet)")
+    df = catalog_queries.queries()["text_values"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = c.sql(catalog_queries.oracle_sql()["text_values"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
